@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, token_counts
+from tidewell.llm import common, mtree, token_counts, trie_bpe
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
@@ -23,9 +23,35 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT_LIMIT).alias("over_limit"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; digests of the ids and of the decoded text."""
+    return trie_bpe.digests(common.read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best neighbours of each vector whose id 20 divides."""
+    return mtree.top_k(common.read(spark, sf_dir, "embeddings"), 20, F.col("id") % 20 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) AND a.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts}
+    return {"op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op10_top_k": op10_top_k}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_top_k": OP10_SQL}
