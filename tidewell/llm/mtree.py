@@ -72,15 +72,17 @@ class MTree:
             near = np.lexsort((rows, d))
             node.rows, node.dist = rows[near], d[near]
             return node
-        seeds = [int(np.argmax(d))]  # pivots far from each other
-        gap = ((pts - pts[seeds[0]]) ** 2).sum(1)
-        owner = np.zeros(len(rows), np.int64)
-        while len(seeds) < min(FANOUT, max(2, -(-len(rows) // PAGE))) and gap.max() > 0:
-            seeds.append(int(np.argmax(gap)))
-            to = ((pts - pts[seeds[-1]]) ** 2).sum(1)
-            owner[to < gap] = len(seeds) - 1
-            gap = np.minimum(gap, to)
-        node.children = [self._build(rows[owner == k], pivot) for k in range(len(seeds))]
+        # pivots spread evenly over the rows by distance; far ones alone would leave crumbs
+        wanted = min(FANOUT, max(2, -(-len(rows) // PAGE)))
+        far = np.argsort(d, kind="stable")
+        seeds = far[np.linspace(0, len(rows) - 1, wanted).astype(np.int64)].tolist()
+        owner = np.argmin(np.stack([((pts - pts[x]) ** 2).sum(1) for x in seeds]), 0)
+        taken = np.unique(owner)
+        if len(taken) == 1:  # copies: cut by distance instead
+            owner = np.zeros(len(rows), np.int64)
+            owner[far[len(rows) // 2 :]] = 1
+            taken = np.arange(2)
+        node.children = [self._build(rows[owner == k], pivot) for k in taken]
         node.pivots = np.stack([c.pivot for c in node.children])
         return node
 

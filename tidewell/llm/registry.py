@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, mtree, token_counts, trie_bpe
+from tidewell.llm import common, html_text, mtree, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,24 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(common.read(spark, sf_dir, "embeddings"), 20, F.col("id") % 20 == 0)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives, read back and assembled into captures."""
+    path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(common.read(spark, sf_dir, "pages"), path)
+    return warc.captures(spark, path, with_payload=False).select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("record.kind").alias("record_type"),
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -50,7 +68,13 @@ WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op10_top_k": op10_top_k}
+    return {
+        "op3_bpe": op3_bpe,
+        "op4_html_text": op4_html_text,
+        "op5_token_counts": op5_token_counts,
+        "op8_warc": op8_warc,
+        "op10_top_k": op10_top_k,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
