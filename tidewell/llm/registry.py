@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, html_text, mtree, token_counts, trie_bpe, warc
+from tidewell.llm import common, html_text, mtree, pii, quality, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
 CONTEXT_LIMIT = 2048
+#: scores from here on are good
+GOOD = 0.7
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT_LIMIT).alias("over_limit"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold."""
+    docs = common.read(spark, sf_dir, "documents")
+    model = quality.train(docs, common.read(spark, sf_dir, "labels"), common.fold("doc_id", 4) != 2)
+    return quality.score(docs, model).select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and with them disclosing terms."""
+    found = pii.spans(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     return trie_bpe.digests(common.read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -69,6 +84,8 @@ WHERE rank <= 20
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_pii": op2_pii,
         "op3_bpe": op3_bpe,
         "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
