@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TREE_ROWS = 16384
+TREE_ROWS = 4096
 BLOCK_QUERIES = 256
+#: query blocks that one copy of a tree meets
+BLOCKS_A_TREE = 64
 PAGE = 256
 FANOUT = 16
 
@@ -43,7 +45,8 @@ class Node:
     radius: float
     to_parent: float
     min_id: int
-    rows: np.ndarray | None = None  # of a leaf, by distance to the pivot
+    vectors: np.ndarray | None = None  # of a leaf's entries, by distance to the pivot
+    ids: np.ndarray | None = None
     dist: np.ndarray | None = None
     children: list[Node] = field(default_factory=list)
     pivots: np.ndarray | None = None  # of the children
@@ -70,22 +73,26 @@ class MTree:
         node = Node(pivot, float(d.max()), up, int(self.ids[rows].min()))
         if len(rows) <= PAGE or node.radius == 0.0:
             near = np.lexsort((rows, d))
-            node.rows, node.dist = rows[near], d[near]
+            rows = rows[near]
+            node.vectors, node.ids, node.dist = self.vectors[rows], self.ids[rows], d[near]
             return node
-        # pivots spread evenly over the rows by distance; far ones alone would leave crumbs
-        wanted = min(FANOUT, max(2, -(-len(rows) // PAGE)))
-        far = np.argsort(d, kind="stable")
-        seeds = far[np.linspace(0, len(rows) - 1, wanted).astype(np.int64)].tolist()
-        owner = np.argmin(np.stack([((pts - pts[x]) ** 2).sum(1) for x in seeds]), 0)
-        taken = np.unique(owner)
-        if len(taken) == 1:  # copies: cut by distance instead
-            owner = np.zeros(len(rows), np.int64)
-            owner[far[len(rows) // 2 :]] = 1
-            taken = np.arange(2)
-        node.children = [self._build(rows[owner == k], pivot) for k in taken]
+        parts = [rows]
+        while len(parts) < FANOUT and max(map(len, parts)) > PAGE:
+            parts.sort(key=len)
+            parts += self._halves(parts.pop())
+        node.children = [self._build(x, pivot) for x in parts]
         node.pivots = np.stack([c.pivot for c in node.children])
         return node
 
+    def _halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two pages of one size: by which of two far entries is the nearer."""
+        pts = self.points[rows]
+        one = pts[np.argmax(((pts - pts[0]) ** 2).sum(1))]
+        d1 = ((pts - one) ** 2).sum(1)
+        two = pts[np.argmax(d1)]
+        order = np.argsort(d1 - ((pts - two) ** 2).sum(1), kind="stable")
+        return rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
+
     def search(self, query: np.ndarray, k: int, not_id: int | None = None) -> list[tuple[int, int]]:
         """The k best (score, id), best first; ties go to the smaller id."""
         if self.root is None or k < 1:
@@ -109,14 +116,16 @@ class MTree:
                 if int(np.floor(-bound)) < found[0][0]:
                     break
                 continue
-            if node.rows is not None:
-                rows = node.rows
-                if len(found) == k:  # stored distances alone rule out most entries
-                    low = np.abs(node.dist - d)
-                    rows = rows[(base - low**2) / 2 + slack >= found[0][0]]
-                if len(rows):
-                    self.computed += len(rows)
-                    score, ids = self.vectors[rows] @ query, self.ids[rows]
+            if node.ids is not None:
+                vectors, ids = node.vectors, node.ids
+                if len(found) == k:  # stored distances alone rule out entries
+                    may = (base - (node.dist - d) ** 2) / 2 + slack >= found[0][0]
+                    n = int(np.count_nonzero(may))
+                    if n < len(ids):
+                        vectors, ids = vectors[may], ids[may]
+                if len(ids):
+                    self.computed += len(ids)
+                    score = vectors @ query
                     if len(found) == k:
                         near = score >= found[0][0]
                         score, ids = score[near], ids[near]
@@ -175,12 +184,14 @@ def top_k(rows: DataFrame, k: int, query_where: F.Column, key: str = "vec_id", v
     data = common.staged(quantised(rows, key, vector, scale), "vectors")
     sizes = data.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(query_where, 1)).alias("nq"))
     sizes = sizes.select("dim", F.ceil(F.col("n") / TREE_ROWS).cast("long").alias("trees"), F.greatest(F.ceil(F.col("nq") / BLOCK_QUERIES), F.lit(1)).cast("long").alias("blocks"))
+    sizes = sizes.withColumn("copies", F.ceil(F.col("blocks") / BLOCKS_A_TREE).cast("long"))
     sized = data.join(sizes, "dim")
-    trees = sized.groupBy("dim", F.pmod(F.xxhash64("id"), F.col("trees")).alias("tree")).agg(F.collect_list(F.struct("id", "v")).alias("members"))
-    ask = sized.where(query_where).groupBy("dim", "trees", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    trees = sized.groupBy("dim", "copies", F.pmod(F.xxhash64("id"), F.col("trees")).alias("tree")).agg(F.collect_list(F.struct("id", "v")).alias("members"))
+    trees = trees.select("dim", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "members")
+    ask = sized.where(query_where).groupBy("dim", "trees", "copies", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     # a stated query set against all rows, in blocks: a block goes to each tree once
-    spread = ask.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), "queries")
-    pairs = trees.join(spread, ["dim", "tree"])
+    spread = ask.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.pmod("block", "copies").alias("copy"), "queries")
+    pairs = trees.join(spread, ["dim", "tree", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
