@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, html_text, mtree, pii, quality, token_counts, trie_bpe, warc
+from tidewell.llm import common, decontaminate, html_text, mtree, pii, quality, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(common.read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and each benchmark item that it holds."""
+    return decontaminate.hits(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best neighbours of each vector whose id 20 divides."""
     return mtree.top_k(common.read(spark, sf_dir, "embeddings"), 20, F.col("id") % 20 == 0)
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
         "op8_warc": op8_warc,
+        "op9_decontaminate": op9_decontaminate,
         "op10_top_k": op10_top_k,
     }
 
