@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, decontaminate, html_text, mtree, pii, quality, token_counts, trie_bpe, warc
+from tidewell.llm import common, decontaminate, html_text, mtree, near, pii, quality, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near duplicates that each document belongs to."""
+    return near.components(common.read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives, read back and assembled into captures."""
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_warc": op8_warc,
         "op9_decontaminate": op9_decontaminate,
         "op10_top_k": op10_top_k,
