@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import common, decontaminate, html_text, mtree, near, pii, quality, token_counts, trie_bpe, warc
+from tidewell.llm import common, decontaminate, html_text, lbl, mtree, near, pii, quality, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,13 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(common.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and unigram scores of every document, learnt outside the held-out fold."""
+    held_out = common.fold("doc_id", 7) == 2
+    out = lbl.scores(common.read(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of near duplicates that each document belongs to."""
     return near.components(common.read(spark, sf_dir, "documents"))
@@ -99,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_html_text": op4_html_text,
         "op5_token_counts": op5_token_counts,
+        "op6_lm_scores": op6_lm_scores,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_warc": op8_warc,
         "op9_decontaminate": op9_decontaminate,
