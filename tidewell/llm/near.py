@@ -407,3 +407,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_set = rooted.join(lowest, "root").select("digest", "component_id")
     return sets.join(of_set, "digest", "left").select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of the
+    smallest key stays.  Rows with a null key stay; rows that repeat a key stay or go
+    together."""
+    found = components(docs, key, text)
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)

@@ -283,3 +283,13 @@ def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array(model.score(features(b)), pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+
+
+def keep_good(docs: DataFrame, model: Additive, least: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, text, key):
+            yield b.batch.filter(pa.array(model.score(features(b)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

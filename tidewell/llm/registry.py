@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 from tidewell.llm import common, decontaminate, html_text, lbl, mtree, near, pii, quality, token_counts, trie_bpe, warc
 
 #: the vocabulary that the token queries use
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER = corpus_pipeline.TOKENIZER
 CONTEXT_LIMIT = 2048
-#: scores from here on are good
-GOOD = 0.7
+GOOD = corpus_pipeline.GOOD
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_decontaminate": op9_decontaminate,
         "op10_top_k": op10_top_k,
+        "pipeline": corpus_pipeline.run,
     }
 
 

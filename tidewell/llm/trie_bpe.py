@@ -206,18 +206,21 @@ def load(path: str) -> TrieBpe:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (array<int>) and decoded text of every row."""
+    """key, n_tokens, ids (array<int>), SHA-256 of the ids and of the text decoded from them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
         for b in batches:
             for part in _slices(b):
                 both = list(bpe.encode_batch(common.texts(part, text)))
-                ids = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in both], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(key), ids, pa.array([t.decode() for _, t in both], pa.string())], names=[key, "ids", "decoded"])
+                flat = pa.array(np.frombuffer(b"".join([i for i, _ in both]), "<u4").astype(np.int32))
+                n = np.array([len(i) // 4 for i, _ in both], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
+                marks = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in both], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), ids, *marks], names=[key, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, decoded string")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
