@@ -105,7 +105,7 @@ def features(b: common.Block) -> np.ndarray:
     col["mean_line"][:] = np.log1p(size / np.maximum(per, 1))
     if len(lines.doc):
         _, kinds = _repeats(lines.doc, lines.hash, n)
-        col["repeated_lines"][:] = 1 - kinds / np.maximum(per, 1)
+        col["repeated_lines"][:] = np.where(per > 0, 1 - kinds / np.maximum(per, 1), 0)
     return out
 
 
