@@ -137,7 +137,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
     keys = common.staged(full.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
     # one row for each digest that the cache lacks: the smallest id stands for it
     lacking = keys.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id")).join(have, "content_digest", "left_anti")
-    missed = full.join(lacking.select("doc_id", F.col("content_digest").alias("want")).hint("shuffle_hash"), "doc_id").where("content_digest = want").select("content_digest", "text")
+    stand = lacking.select(F.col("doc_id").alias("_id"), F.col("content_digest").alias("_want")).hint("shuffle_hash")
+    missed = full.join(stand, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content_digest") == F.col("_want"))).select("content_digest", "text")
     fresh = missed.mapInArrow(_count_batches(tokenizer_path), "content_digest binary, n_tokens long")
     fresh.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     now = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
