@@ -27,7 +27,7 @@ def test_ranges_route_and_prune(spark, monthly):
     rows = {r.partition: r.rows for r in monthly.partition_rows("events").collect()}
     assert rows["p_2024_01"] == 93 and rows["p_2024_02"] == 87 and rows[P.DEFAULT] == 0 and len(rows) == 16
     tx = monthly.begin()
-    assert tx.touched("events", datetime(2024, 2, 1), datetime(2024, 3, 1)) == [P.DEFAULT, "p_2024_02"] or set(tx.touched("events", datetime(2024, 2, 1), datetime(2024, 3, 1))) == {"p_2024_02", P.DEFAULT}
+    assert set(tx.touched("events", datetime(2024, 2, 1), datetime(2024, 3, 1))) == {"p_2024_02", P.DEFAULT}
     got = monthly.scan("events", lo=datetime(2024, 1, 31), hi=datetime(2024, 2, 2))
     assert got.count() == 6 and len(got.inputFiles()) < len(monthly.scan("events", prune=False).inputFiles())
     assert monthly.scan("events", lo=datetime(2024, 1, 31), hi=datetime(2024, 2, 2), prune=False).count() == 6
@@ -52,7 +52,6 @@ def test_stray_rows(spark, monthly, tmp_path):
 def test_update_delete_move(spark, monthly):
     before = monthly.version()
     tx = monthly.begin()
-    untouched = tx.manifest["tables"]["events"]["parts"]["p_2024_02"]["dirs"]
     tx.update("events", F.col("id") % 10 == 0, {"status": F.lit("reopened")}).commit()
     assert monthly.scan("events").where("status = 'reopened'").count() == 27
     tx = monthly.begin().update("events", F.col("id") == 0, {"occurred_at": F.expr("timestamp_ntz'2024-02-10'")})
@@ -64,7 +63,6 @@ def test_update_delete_move(spark, monthly):
     assert monthly.scan("events", version=before).count() == 270
     with pytest.raises(NotAffectedError):
         monthly.begin().update("events", F.col("id") == -5, {"status": F.lit("x")}, must=True)
-    assert untouched
     assert monthly.size_report("events").first().dead_bytes > 0
     assert monthly.expire() > 0
     assert monthly.size_report("events").first().dead_bytes == 0
@@ -113,7 +111,6 @@ def test_attach(spark, monthly, tmp_path):
         monthly.begin().attach("events", "p_2020_03", datetime(2020, 3, 1), datetime(2020, 4, 1), bad)
     with pytest.raises(P.PartitionError, match="overlaps"):
         monthly.begin().attach("events", "again", datetime(2020, 2, 10), datetime(2020, 2, 11), good)
-    assert monthly.begin().attach("events", "p_2020_02b", datetime(2020, 4, 1), datetime(2020, 5, 1), f"{tmp_path}/none") if False else True
 
 
 def orders(spark, n=400, tenants=40):
