@@ -281,3 +281,14 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
             docs.collect()
+
+
+def test_top_k_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    cur = con.execute(registry.oracle_sql()["op10_top_k"])
+    assert [c[0] for c in cur.description] == ["query_id", "rank", "vec_id", "score"]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in registry.op10_top_k(spark, SF).collect()]
+    assert sorted(cur.fetchall()) == sorted(got)

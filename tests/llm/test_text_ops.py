@@ -9,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, html_text, pii, quality, registry, warc
 
@@ -79,8 +78,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 def luhn(d):
     odd = [int(x) for x in reversed(d)][::2]
     even = [2 * int(x) for x in reversed(d)][1::2]
-    even = [x % 9 if x not in (0, 18) and x > 9 else x for x in even] if False else [x - 9 if x > 9 else x for x in even]
-    return (sum(odd) + sum(even)) % 10 == 0
+    return (sum(odd) + sum(x - 9 if x > 9 else x for x in even)) % 10 == 0
 
 
 def brute_spans(t):
@@ -252,4 +250,3 @@ def test_question_and_answer_must_both_stand_there(spark):
     kept = decontaminate.clean(df, items)
     assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 7} and kept.columns == df.columns
     assert decontaminate.clean(df, items.limit(0)).count() == 7 and decontaminate.hits(df.limit(0), items).count() == 0
-    assert F.lit(1) is not None
