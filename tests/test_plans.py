@@ -88,3 +88,21 @@ def test_conform_and_files(spark, tmp_path):
     made = S.synthetic_events(spark, 500, tenants=20)
     assert S.conform(made, S.EVENTS).count() == 500 and made.agg(F.max("tenant_id")).first()[0] <= 20
     assert S.synthetic_orders(spark, 10, 4).count() == 8 * 4 + 2 * 80
+
+
+def test_violations(spark):
+    o, c = S.orders(spark, SF), S.table(spark, SF, "customer").where("c_custkey <> 3")
+    got = S.violations(o.unionByName(o.limit(2)), ["id"], {"positive": "total_cents > 0", "known state": "state IN ('F', 'O')"}, {"tenant_id": (c, "c_custkey")}).collect()
+    by = {r.constraint: r.rows for r in got}
+    assert by["unique"] == 4 and by["positive"] == 0 and by["known state"] >= o.where("state = 'P'").count() > 0
+    assert by["references tenant_id"] >= o.where("tenant_id = 3").count() > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewell import cli
+
+    cli.main(["--root", f"{tmp_path}/c", "ids", "--shard", "7", "-n", "3"])
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == 3 and all("shard=7" in line for line in out)
+    cli.main(["--root", f"{tmp_path}/c", "--shards", "2", "audit"])
+    assert "misplaced" in capsys.readouterr().out

@@ -49,6 +49,9 @@ class Store:
         v = self.version() if version is None else version
         return self.files.read_json(f"{self.root}/manifest/{v:010d}.json") if v else {"tables": {}}
 
+    def has_table(self, name: str) -> bool:
+        return name in self.manifest()["tables"]
+
     def begin(self) -> Tx:
         v = self.version()
         return Tx(self, v, self.manifest(v))

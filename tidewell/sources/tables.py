@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,3 +150,19 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count and an order-free checksum of whole-number columns, for comparing copies."""
     total = sum((F.coalesce(F.col(c).cast("decimal(38,0)"), F.lit(0)) * (k + 1) for k, c in enumerate(columns)), F.lit(0).cast("decimal(38,0)"))
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(total % 1_000_000_007), F.lit(0)).cast("long").alias("checksum"))
+
+
+def violations(df: DataFrame, unique: list[str] | None = None, checks: dict[str, str] | None = None, references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """Rows that break declared constraints, counted by constraint: a unique key,
+    SQL conditions (null passes), columns that must occur in another table."""
+    spark = df.sparkSession
+    out = [spark.createDataFrame([], "constraint string, rows long")]
+    for name, condition in (checks or {}).items():
+        out.append(df.where(~F.expr(condition)).agg(F.count("*").alias("rows")).select(F.lit(name).alias("constraint"), "rows"))
+    if unique:
+        twice = df.groupBy(*unique).agg(F.count("*").alias("n")).where("n > 1")
+        out.append(twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit("unique").alias("constraint"), "rows"))
+    for column, (other, key) in (references or {}).items():
+        lost = df.where(F.col(column).isNotNull()).join(other.select(F.col(key).alias(column)), column, "left_anti")
+        out.append(lost.agg(F.count("*").alias("rows")).select(F.lit(f"references {column}").alias("constraint"), "rows"))
+    return reduce(DataFrame.unionByName, out)
