@@ -164,6 +164,7 @@ def test_articles_of_the_pages(spark):
         ("<article><header><h1>T</h1></header><p>x</p><div class=comments>c</div></article><p>out", "T\nx"),
         ("", ""), ('<p title="a>b">x</p><a href="u>t', "x\nt"), ("<b>un<i>closed", "unclosed"), ("<main><p>1</p></p></main> z", "1"),
         ("<!-- x", ""), ("a < b &lt; c", "a < b < c"), ("<td>x<td>y", "x\ny"), ("<p>&nbsp;&#228;&#x41;\n\n b</p>", "äA b"), ("<form><p>f</p></form><aside>s</aside>k", "k"),
+        ('<article><p>a</p><div id="cookie-notice">c</div><ol class="commentlist"><li>r</ol><div class="lead advertised-not">b</div></article>', "a\nb"),
     ],
 )
 def test_main_text(page, want):

@@ -57,8 +57,8 @@ DROPPED = frozenset("head nav footer aside form button select input textarea dia
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 #: not content by a word of their class or id
 DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup"
-    r"|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|masthead|share|sharing|social|related|recommended|comments?|disqus|replies|pagination|pager|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookie(?:s|bar|notice|banner)?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup"
+    r"|(?:top)?nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|masthead|share|sharing|social|related|recommended|comment(?:s|list|section|area)?|disqus|replies|pagination|pager|toolbar|widget)(?:$|[\s_-])",
     re.I,
 )
 ROOTS = frozenset(("article", "main"))
