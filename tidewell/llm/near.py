@@ -192,11 +192,13 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     runs = np.diff(np.r_[new, len(s)])
     count = np.repeat(runs, runs)
     twice = count > 1
+    if not twice.any():
+        return pd.DataFrame({"part": pd.Series([], dtype="int64"), "bucket": pd.Series([], dtype="int64"), "body": pd.Series([], dtype=object), "sizes": pd.Series([], dtype=object)})
     order, count = order[twice], np.minimum(count[twice], 65_535)
     part = chunk[order] * 128 + docs[order] // GROUP
     by = np.argsort(part, kind="stable")
     part, order, count = part[by], order[by], count[by]
-    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     bucket = int(rows["bucket"].iloc[0])
     out = []
     for a, z in zip(edge, [*edge[1:], len(part)], strict=True):
@@ -279,7 +281,9 @@ def may_link(bits_a, lo_a, hi_a, spare_a, bits_b, lo_b, hi_b, spare_b):
 
 
 def tree_links(a: Tree, b: Tree | None = None) -> list[tuple[bytes, bytes]]:
-    """Links between the sets of two trees (of one, without ``b``) that span their components."""
+    """Links between the sets of two trees (of one, without ``b``) that span their
+    components, given the links within each tree: between two trees of near copies
+    one link is enough."""
     own = b is None
     b = a if own else b
     parent: dict[bytes, bytes] = {}
@@ -290,6 +294,9 @@ def tree_links(a: Tree, b: Tree | None = None) -> list[tuple[bytes, bytes]]:
             x = up
         return x
 
+    if not own:
+        for x, y in tree_links(a) + tree_links(b):
+            parent[find(x)] = find(y)
     out = []
     todo = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
     while todo:
@@ -333,13 +340,26 @@ def _unpack_block(marks: bytes, sizes: np.ndarray, body: bytes) -> Tree:
     return Tree([marks[16 * i : 16 * i + 16] for i in range(len(sizes))], [s[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)])
 
 
+def _candidate_edges(named: DataFrame) -> DataFrame:
+    """Edges that connect the sets of each shared shingle.
+
+    Each set is hooked to the smallest set that it shares a shingle with; shingles
+    then connect hooks, not sets, of which a group of near copies has few.
+    """
+    low = named.groupBy("shingle").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("shingle", "a")
+    held = named.join(low, "shingle")
+    hook = common.staged(held.groupBy("digest").agg(F.min("a").alias("r")), "hooks")
+    spots = held.join(hook, "digest").select("shingle", "r").distinct()
+    ends = spots.groupBy("shingle").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a <> z").select("shingle", "a")
+    more = spots.join(ends, "shingle").select("a", F.col("r").alias("b"))
+    return hook.select(F.col("digest").alias("a"), F.col("r").alias("b")).union(more).where("a <> b").distinct()
+
+
 def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges between digests that span the components of the exact links."""
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     named = common.staged(candidates(docs, total, key, text).distinct(), "candidates")
-    first = named.groupBy("shingle").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("shingle", "a")
-    star = named.join(first, "shingle").where(F.col("digest") != F.col("a")).select("a", F.col("digest").alias("b")).distinct()
-    groups = connected(star)
+    groups = connected(_candidate_edges(named))
     # one row stands for each set that has candidates; sets of one group lie together
     stand = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("_key"), F.max("n_shingles").alias("n"))
     member = stand.join(groups.select(F.col("node").alias("digest"), F.col("root").alias("group")), "digest")
