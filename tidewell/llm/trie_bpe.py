@@ -18,6 +18,7 @@ Nulls are empty texts: no tokens, and an empty decoded text.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ END = "</w>"
 #: letters of the byte-level alphabet lie below; a word's last letter is moved above
 _FINAL = 0x1000
 #: chunks (and pieces, and pairs of tokens) that a worker remembers
-MEMO = 200_000
+MEMO = 400_000
 MEMO_BYTES = 64
 _FOREVER = 1 << 60
 
@@ -53,12 +54,16 @@ class TrieBpe:
             self.rank[a, b] = r
             self.parts[a + b] = (a, b, r)
         self.id_of = {self._letters(t): i for t, i in spec["vocab"].items()}
-        self.longest = max(map(len, self.id_of))
+        #: length of the longest token with these last two letters
+        self.longest: dict[str, int] = {}
+        for t in self.id_of:
+            if len(t) > 1:
+                self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
         self._right: dict[str, list[tuple[str, int]]] = {}
         self._left: dict[str, list[tuple[str, int]]] = {}
         self._fits: dict[tuple[str, str], bool] = {}
         self._itself: dict[str, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str | int, tuple[bytes, bytes]] = {i: (i.to_bytes(4, "little"), self.utf8_of[i]) for i in self.split.special.values()}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
 
     @staticmethod
@@ -113,9 +118,9 @@ class TrieBpe:
             known = self._itself[token] = len(parts) == 1
         return known
 
-    def encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        out: dict[str, bytes] = {}
+    def encode_pieces(self, pieces: set[str]) -> dict[str, list[int]]:
+        """Ids of each piece."""
+        out: dict[str, list[int]] = {}
         state: list[str] = [""]  # of the path from the root to the node at hand
         path = ""
         id_of, longest, fits, fits_known = self.id_of, self.longest, self.fits, self._fits
@@ -127,7 +132,8 @@ class TrieBpe:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
+                reach = longest.get(word[end - 2 : end], 1) if end > 1 else 1
+                for begin in range(end - reach if end > reach else 0, end):
                     token = word[begin:end]
                     if token in id_of:
                         if begin:
@@ -147,27 +153,41 @@ class TrieBpe:
             while at:
                 ids.append(id_of[state[at]])
                 at -= len(state[at])
-            out[piece] = np.array(ids[::-1], "<u4").tobytes()
+            ids.reverse()
+            out[piece] = ids
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode the chunks that aren't known yet, over one trie of their pieces."""
+    def learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Encode the chunks that aren't known yet, over one trie of their pieces.
+        Returns the long ones, to be forgotten after use."""
         fresh = [c for c in chunks if c not in self.chunks]
         if len(self.chunks) + len(fresh) > MEMO:
             self.chunks.clear()
             fresh = list(chunks)
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        split = [self.split.pieces(c.decode()) for c in fresh]
-        self.pieces.update(self.encode_pieces({p for ps in split for p in ps if p.__class__ is str and p not in self.pieces}))
         known = self.pieces
+        if len(known) > MEMO:
+            special = {i: known[i] for i in self.split.special.values()}
+            known.clear()
+            known.update(special)
+        split = [self.split.pieces(c.decode()) for c in fresh]
+        new = {p for ps in split for p in ps if p not in known}
+        for p, ids in self.encode_pieces(new).items():
+            known[p] = (struct.pack(f"<{len(ids)}I", *ids), self._decode_spaced(ids))
         for c, ps in zip(fresh, split, strict=True):
-            ids = b"".join([known[p] if p.__class__ is str else p.to_bytes(4, "little") for p in ps])
-            self.chunks[c] = (ids, self._decode_spaced(ids))
-
-    def _decode_spaced(self, ids: bytes) -> bytes:
+            if len(ps) == 1:
+                self.chunks[c] = known[ps[0]]
+            else:
+                both = [known[p] for p in ps]
+                self.chunks[c] = (b"".join([x for x, _ in both]), b"".join([x for _, x in both]))
+        for p in new:
+            if len(p) > MEMO_BYTES:
+                del known[p]
+        return [c for c in fresh if len(c) > MEMO_BYTES]
+
+    def _decode_spaced(self, ids: list[int]) -> bytes:
+        """Text of ids in UTF-8, a blank before each token."""
         text = self.utf8_of
-        return b"".join([text[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join([text[i] for i in ids])
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids and, decoded from them, its text in UTF-8."""
@@ -182,14 +202,13 @@ class TrieBpe:
         yield from self._encode(some)
 
     def _encode(self, split: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
-        self.learn(set().union(*split))
+        long = self.learn(set().union(*split))
         get = self.chunks.__getitem__
         for chunks in split:
             both = list(map(get, chunks))
             yield b"".join([x for x, _ in both]), b"".join([x for _, x in both])[1:]
-        for c in set().union(*(c for c in split if len(c) < 64)):
-            if len(c) > MEMO_BYTES:
-                self.chunks.pop(c, None)
+        for c in long:
+            del self.chunks[c]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids: the tokens' strings with blanks between, as the file asks."""

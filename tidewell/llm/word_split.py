@@ -2,8 +2,9 @@
 
 A text is cut at ASCII white space; no word-level BPE token crosses it.  Each
 distinct chunk is normalised and split once.  Plain ASCII chunks take a regular
-expression with the same alternatives as the file's; all others go through the
-library's own normaliser and pre-tokeniser, so Unicode rules are the library's.
+expression with the same alternatives as the file's, as do chunks of ASCII and
+the letters of Latin-1; all others go through the library's own normaliser and
+pre-tokeniser, so Unicode rules are the library's.
 """
 
 from __future__ import annotations
@@ -15,6 +16,19 @@ import re
 #: fixed values: the split of the vocabulary file, and what it means for ASCII in lower case
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: the same with the letters of Latin-1, which lower-case one to one and are composed already
+LATIN = re.compile(r"[\x20-\x7eÀ-ÖØ-öø-ÿ]+")
+LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level letters: printable bytes stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
 
 _loaded: dict[str, object] = {}
 
@@ -78,5 +92,7 @@ class WordSplit:
     def pieces_of(self, chunk: str) -> list[str]:
         if chunk.isascii() and chunk.isprintable():
             return ASCII_SPLIT.findall(chunk.lower())
+        if LATIN.fullmatch(chunk):
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in LATIN_SPLIT.findall(chunk.lower())]
         t = self.tokenizer
         return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
