@@ -182,6 +182,14 @@ def test_templates_are_counted_by_host(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapped_articles_are_no_templates(spark):
+    one = "<body><div id=page><nav>n</nav><article><p>Story {i}</article></div>"
+    two = "<body><div id=page><p>Welcome</p><div class=col><main><p>Story {i}</main></div></div>"
+    rows = [(10 * k + i, f"https://h{k}.example/{i}", page.format(i=10 * k + i)) for k, page in enumerate((one, two)) for i in range(6)]
+    got = dict((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {i: f"Story {i}" for i, _, _ in rows}
+
+
 # ---------------------------------------------------------------- archives
 
 

@@ -72,12 +72,13 @@ _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 
 
 class Node:
-    __slots__ = ("children", "dropped", "in_root", "kind", "mark", "root", "tag")
+    __slots__ = ("children", "dropped", "holds", "in_root", "kind", "mark", "root", "tag")
 
     def __init__(self, tag: str, kind: str, dropped: bool, root: bool, in_root: bool):
         self.tag, self.kind, self.dropped, self.root, self.in_root = tag, kind, dropped, root, in_root
         self.children: list[Node | str] = []
         self.mark: int | None = None
+        self.holds = root  # it is a content root or has one in it
 
 
 def _describe(tag: str, attrs: str, in_root: bool) -> tuple[str, bool, bool]:
@@ -167,9 +168,11 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 
 def mark_subtrees(ended: list[Node]) -> set[int]:
-    """Hash every element outside the content; returns the hashes."""
+    """Hash every element that neither is in the content nor holds some; returns the hashes."""
     for x in ended:
-        if not x.in_root:
+        if not x.holds:
+            x.holds = any(c.__class__ is not str and c.holds for c in x.children)
+        if not (x.in_root or x.holds):
             parts = [x.tag, x.kind]
             for c in x.children:
                 if c.__class__ is str:
