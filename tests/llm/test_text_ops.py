@@ -190,6 +190,26 @@ def test_wrapped_articles_are_no_templates(spark):
     assert got == {i: f"Story {i}" for i, _, _ in rows}
 
 
+def test_counts_decide_inside_declared_content(spark):
+    page = "<article><h2>Summary</h2><p>Story {i} of its own</p><p>Read our other stories</p></article>"
+    rows = [(i, "https://a.example/", page.format(i=i)) for i in range(8)]
+    # published nine times: copies count once, here and where it is the only article
+    rows += [(100 + i, f"https://{h}.example/", "<article><p>Alpha</p><p>Beta</p></article>") for i, h in enumerate("a" * 9 + "b" * 9)]
+    # paragraphs under the share stay; what would go to the last word stays
+    rows += [(200 + i, "https://c.example/", f"<main><p>Part {i}</p><p>Twice {i // 3}</p></main>") for i in range(9)]
+    rows += [(300 + i, "https://d.example/", f"<main><p>Same</p>{'<p>x' + str(i) if i else ''}</main>") for i in range(4)]
+    got = dict((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert all(got[i] == f"Summary\nStory {i} of its own" for i in range(8))
+    assert {got[100 + i] for i in range(18)} == {"Alpha\nBeta"}
+    assert all(got[200 + i] == f"Part {i}\nTwice {i // 3}" for i in range(9))
+    assert [got[300 + i] for i in range(4)] == ["Same", "x1", "x2", "x3"]
+
+
+def test_words_of_names_decide_for_whole_boxes():
+    page = "<article><h2 id=side-effects>Side effects</h2><section id=related-work><h3 class=social>R</h3><p class=notice>n</p></section><div class='related-posts x'>r</div><ul id=share_buttons><li>s</ul></article>"
+    assert html_text.main_text(html_text.parse(page)[0]) == "Side effects\nR\nn"
+
+
 # ---------------------------------------------------------------- archives
 
 

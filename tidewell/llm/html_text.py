@@ -1,12 +1,16 @@
 """Main text of web pages by removal of site templates.
 
-Every page becomes a tree.  Element subtrees outside the declared content
-(``article`` or ``main``) are hashed over tag, class, text and children; Spark
-counts on how many pages of its host each hash occurs; subtrees that recur on
-many pages of their host are deleted.  Parts that HTML itself marks as other
-than content (menus, footers, asides, forms, scripts, and boxes whose class or
-role says advert, notice, comments and so on) are deleted on every page, also
-on hosts with few pages.  Declared content loses no paragraph for recurring.
+Every page becomes a tree.  Its block subtrees are hashed over tag, class, text
+and children; Spark counts on how many pages of its host each hash occurs;
+blocks that recur on a share of their host's pages are deleted, within declared
+content (``article`` or ``main``) only at a high share.  Pages with the same
+content count once, so an article that is published again and again stays whole;
+declared content that would be deleted to the last word stays as it is.
+Headings, cells, items and inline elements go only with the block around them.
+Parts that HTML itself marks as other than content (menus, footers, asides,
+forms, scripts, and boxes whose class, id or role says advert, notice, comments
+and so on, and nothing else) are deleted on every page, also on hosts with few
+pages.
 
 What is left is the text of the content elements, or of the body where a page
 declares none: character references decoded, white space in a block one blank,
@@ -28,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: a subtree is a template on at least this many pages of its host ...
+#: a subtree is a template on at least this many different pages of its host ...
 MIN_PAGES = 3
-#: ... and on this share of them, or on this many
-SHARE, ENOUGH = 0.2, 50
+#: ... and on this share of them, or on this many; within declared content on this share
+SHARE, ENOUGH, ROOT_SHARE = 0.2, 50, 0.5
 
 # Fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +45,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table"
     " tbody td tfoot th thead tr ul".split()
 )
+#: blocks that may be templates on their own; headings, items and cells are parts of what is around them
+COUNTED = BLOCK - frozenset("body caption dd dt figcaption h1 h2 h3 h4 h5 h6 head hr html legend li option optgroup summary tbody td tfoot th thead tr".split())
 CLOSES_P = BLOCK - frozenset("body head html caption tbody td tfoot th thead tr option optgroup legend".split())
 #: an element that ends open ones of these kinds, up to the nearest of its containers
 IMPLIED = {
@@ -55,12 +61,15 @@ IMPLIED = {
 #: not content by their element
 DROPPED = frozenset("head nav footer aside form button select input textarea dialog menu search script style noscript template iframe svg math title object embed audio video canvas".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-#: not content by a word of their class or id
+#: boxes are not content by a word of their class or id that is made of these ...
+BOXES = frozenset("center details div dl figure ol section table ul".split())
 DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookie(?:s|bar|notice|banner)?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup"
-    r"|(?:top)?nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|masthead|share|sharing|social|related|recommended|comment(?:s|list|section|area)?|disqus|replies|pagination|pager|toolbar|widget)(?:$|[\s_-])",
+    r"ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookie(?:s|bar|notice|banner)?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup"
+    r"|(?:top)?nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|masthead|share|sharing|social|related|recommended|comment(?:s|list|section|area)?|disqus|replies|pagination|pager|toolbar|widget",
     re.I,
 )
+#: ... and of these, which say nothing of what a box holds
+PLAIN_WORDS = re.compile(r"area|articles|bar|block|bottom|box|buttons?|container|form|inner|items?|left|links|list|outer|posts|right|section|site|top|wrap(?:per)?|[0-9]+|", re.I)
 ROOTS = frozenset(("article", "main"))
 
 _TAG = re.compile(
@@ -72,13 +81,19 @@ _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 
 
 class Node:
-    __slots__ = ("children", "dropped", "holds", "in_root", "kind", "mark", "root", "tag")
+    __slots__ = ("children", "digest", "dropped", "holds", "in_root", "kind", "mark", "root", "tag")
 
     def __init__(self, tag: str, kind: str, dropped: bool, root: bool, in_root: bool):
         self.tag, self.kind, self.dropped, self.root, self.in_root = tag, kind, dropped, root, in_root
         self.children: list[Node | str] = []
-        self.mark: int | None = None
-        self.holds = root  # it is a content root or has one in it
+        self.digest: int | None = None  # of what is left of it; None if it has no text
+        self.mark: int | None = None  # its digest, with the lowest bit for in_root, if it may be a template
+        self.holds = root and not dropped  # it is a content root or has one in it
+
+
+def _named_no_content(names: str) -> bool:
+    """Whether a word of a class or id says that its box is no content, and nothing else."""
+    return any(any(map(DROPPED_WORDS.fullmatch, parts)) and all(DROPPED_WORDS.fullmatch(p) or PLAIN_WORDS.fullmatch(p) for p in parts) for parts in (re.split("[_-]", w) for w in names.split()))
 
 
 def _describe(tag: str, attrs: str, in_root: bool) -> tuple[str, bool, bool]:
@@ -89,7 +104,7 @@ def _describe(tag: str, attrs: str, in_root: bool) -> tuple[str, bool, bool]:
         cls, role = named.get("class", ""), named.get("role", "").lower()
         if "hidden" in named or named.get("aria-hidden") == "true" or role in DROPPED_ROLES or re.search(r"display\s*:\s*none", named.get("style", "")):
             dropped = True
-        elif (cls or named.get("id")) and tag not in ("html", "body") and not root and (DROPPED_WORDS.search(cls) or DROPPED_WORDS.search(named.get("id", ""))):
+        elif tag in BOXES and (cls or named.get("id")) and (_named_no_content(cls) or _named_no_content(named.get("id", ""))):
             dropped = True
         root = root or role in ("main", "article")
     return cls, dropped, root
@@ -148,7 +163,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 end(cut)
         up = stack[-1]
         cls, dropped, root = _describe(tag, attrs, up.in_root)
-        node = Node(tag, cls, dropped, root, up.in_root or root)
+        node = Node(tag, cls, dropped or up.dropped, root, up.in_root or root)
         up.children.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             ended.append(node)
@@ -167,36 +182,62 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return top, ended
 
 
-def mark_subtrees(ended: list[Node]) -> set[int]:
-    """Hash every element that neither is in the content nor holds some; returns the hashes."""
-    for x in ended:
-        if not x.holds:
-            x.holds = any(c.__class__ is not str and c.holds for c in x.children)
-        if not (x.in_root or x.holds):
-            parts = [x.tag, x.kind]
-            for c in x.children:
-                if c.__class__ is str:
-                    c = " ".join(c.split())
-                    if c:
-                        parts.append(c)
-                else:
-                    parts.append(f"\x00{c.mark}")
-            x.mark = xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
-    return {x.mark for x in ended if x.mark is not None and x.tag not in ("html", "body") and x.children}
+def _digest(parts: list[str]) -> int:
+    return xxhash.xxh64_intdigest("\x01".join(parts)) - (1 << 63)
 
 
-def main_text(top: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Text of what is left, one line a block."""
+def mark_subtrees(ended: list[Node]) -> set[int]:
+    """Digest every element with text, without what is no content; mark the blocks that
+    may be templates, so none that holds declared content; returns the marks."""
+    for x in ended:
+        if x.dropped:
+            continue
+        parts = [x.tag, x.kind]
+        for c in x.children:
+            if c.__class__ is str:
+                c = " ".join(c.split())
+                if c:
+                    parts.append(c)
+            elif not c.dropped:
+                x.holds = x.holds or c.holds
+                if c.digest is not None:
+                    parts.append(f"\x00{c.digest}")
+        if len(parts) > 2:
+            x.digest = _digest(parts)
+            if (not x.in_root or x.tag in COUNTED) and not x.root and (x.in_root or not x.holds):
+                x.mark = x.digest | 1 if x.in_root else x.digest & ~1
+    return {x.mark for x in ended if x.mark is not None}
+
+
+def roots_of(top: Node) -> list[Node]:
+    """The outermost elements that are declared content."""
     roots: list[Node] = []
     todo = [top]
     while todo:
         x = todo.pop()
-        if x.dropped or x.mark in templates:
+        if x.dropped:
             continue
         if x.root:
             roots.append(x)
             continue
         todo += [c for c in reversed(x.children) if c.__class__ is not str]
+    return roots
+
+
+def content_digest(top: Node) -> int:
+    """Equal for pages with the same content, after :func:`mark_subtrees`."""
+    return _digest([f"\x00{c.digest}" if c.__class__ is not str else " ".join(c.split()) for c in roots_of(top) or top.children])
+
+
+def main_text(top: Node, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of what is left, one line a block."""
+    roots = roots_of(top)
+    if not roots:
+        return _text([top], templates)
+    return _text(roots, templates) or (_text(roots, frozenset()) if templates else "")
+
+
+def _text(roots: list[Node], templates: frozenset[int] | set[int]) -> str:
     lines: list[str] = []
     run: list[str] = []
 
@@ -207,7 +248,7 @@ def main_text(top: Node, templates: frozenset[int] | set[int] = frozenset()) ->
                 lines.append(line)
             run.clear()
 
-    for r in roots or [top]:
+    for r in roots:
         work: list[Node | str | None] = [r]
         while work:
             x = work.pop()
@@ -236,13 +277,16 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hosts, marks = [], [], []
+            ids, hosts, contents, marks = [], [], [], []
             for i, h, p in zip(b.column(key).to_pylist(), b.column("host").to_pylist(), b.column(page).to_pylist(), strict=True):
-                found = sorted(mark_subtrees(parse(p)[1])) if p else []
+                top, ended = parse(p or "")
+                # a page without marks counts as one of its host's pages
+                found = sorted(mark_subtrees(ended)) or [None]
                 ids += [i] * len(found)
                 hosts += [h] * len(found)
+                contents += [content_digest(top)] * len(found)
                 marks += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(key).type), pa.array(hosts, pa.string()), pa.array(marks, pa.int64())], names=[key, "host", "mark"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(key).type), pa.array(hosts, pa.int64()), pa.array(contents, pa.int64()), pa.array(marks, pa.int64())], names=[key, "host", "content", "mark"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,10 +301,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     from tidewell.llm import common
 
     base = pages.select(key, url, page)
-    hosted = base.withColumn("host", host(F.col(url)))
-    marks = common.staged(hosted.select(key, "host", page).mapInArrow(hashes, f"{key} {kind}, host string, mark long"), "marks")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages"))
-    often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    templates = often.join(sizes, "host").where(F.col("n") >= F.least(F.lit(float(ENOUGH)), SHARE * F.col("pages"))).select("host", "mark")
-    own = marks.join(templates, ["host", "mark"]).groupBy(key).agg(F.collect_set("mark").alias("marks"))
+    hosted = base.withColumn("host", F.xxhash64(host(F.col(url))))
+    marks = common.staged(hosted.select(key, "host", page).mapInArrow(hashes, f"{key} {kind}, host long, content long, mark long"), "marks")
+    sizes = marks.groupBy("host").agg(F.countDistinct("content").alias("pages"))
+    held = marks.where("mark IS NOT NULL")
+    often = held.groupBy("host", "mark").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= MIN_PAGES)
+    bar = F.when(F.col("mark").bitwiseAND(1) == 1, ROOT_SHARE * F.col("pages")).otherwise(F.least(F.lit(float(ENOUGH)), SHARE * F.col("pages")))
+    templates = often.join(sizes, "host").where(F.col("n") >= bar).select("host", "mark")
+    own = held.join(templates, ["host", "mark"]).groupBy(key).agg(F.collect_set("mark").alias("marks"))
     return base.join(own.hint("shuffle_hash"), key, "left").select(key, url, page, "marks").mapInArrow(cut, f"{key} {kind}, {url} string, text string")
