@@ -210,6 +210,13 @@ def test_words_of_names_decide_for_whole_boxes():
     assert html_text.main_text(html_text.parse(page)[0]) == "Side effects\nR\nn"
 
 
+def test_large_hosts_keep_words_that_recur(spark):
+    page = "<div><p><b>Note:</b> text {i} <a>here</a></p><h2>Summary</h2><table><tr><td>Yes</td><td>{i}</td></table><div>{few}</div><div>On all pages</div></div>"
+    rows = [(i, "https://big.example/", page.format(i=i, few="On some pages" if i < 60 else f"Only {i}")) for i in range(400)]
+    got = dict((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert all(got[i] == f"Note: text {i} here\nSummary\nYes\n{i}\n" + ("On some pages" if i < 60 else f"Only {i}") for i in range(400))
+
+
 # ---------------------------------------------------------------- archives
 
 

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 #: a subtree is a template on at least this many different pages of its host ...
 MIN_PAGES = 3
-#: ... and on this share of them, or on this many; within declared content on this share
-SHARE, ENOUGH, ROOT_SHARE = 0.2, 50, 0.5
+#: ... and on this share of them; within declared content on this one
+SHARE, ROOT_SHARE = 0.2, 0.5
 
 # Fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,7 +204,7 @@ def mark_subtrees(ended: list[Node]) -> set[int]:
                     parts.append(f"\x00{c.digest}")
         if len(parts) > 2:
             x.digest = _digest(parts)
-            if (not x.in_root or x.tag in COUNTED) and not x.root and (x.in_root or not x.holds):
+            if x.tag in COUNTED and not x.root and (x.in_root or not x.holds):
                 x.mark = x.digest | 1 if x.in_root else x.digest & ~1
     return {x.mark for x in ended if x.mark is not None}
 
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     sizes = marks.groupBy("host").agg(F.countDistinct("content").alias("pages"))
     held = marks.where("mark IS NOT NULL")
     often = held.groupBy("host", "mark").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= MIN_PAGES)
-    bar = F.when(F.col("mark").bitwiseAND(1) == 1, ROOT_SHARE * F.col("pages")).otherwise(F.least(F.lit(float(ENOUGH)), SHARE * F.col("pages")))
-    templates = often.join(sizes, "host").where(F.col("n") >= bar).select("host", "mark")
+    share = F.when(F.col("mark").bitwiseAND(1) == 1, ROOT_SHARE).otherwise(SHARE)
+    templates = often.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
     own = held.join(templates, ["host", "mark"]).groupBy(key).agg(F.collect_set("mark").alias("marks"))
     return base.join(own.hint("shuffle_hash"), key, "left").select(key, url, page, "marks").mapInArrow(cut, f"{key} {kind}, {url} string, text string")
