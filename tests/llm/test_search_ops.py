@@ -84,6 +84,15 @@ def test_components_of_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 6, 8, 10, 10, 11] and kept.columns == ["doc_id", "text", "_key"]
 
 
+def test_one_document_of_each_group_stays(spark):
+    x, y, z, n = ("one two three four five six seven", "red orange yellow green blue violet", "only here and nowhere else at all", "no row of this text has an id")
+    rows = [(3, x), (5, x), (5, y), (9, y), (5, z), (None, x), (None, n), (None, n + " "), (None, n), (None, ""), (None, None), (9, ""), (None, "b a")]
+    got = [(r.doc_id, r.text) for r in near.keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _set int").repartition(3)).collect()]
+    want = [(3, x), (5, y), (5, z), (None, n), (None, ""), (None, None), (9, ""), (None, "b a")]
+    order = lambda r: (r[0] or 0, r[1] or "0")
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_tree_traversal_finds_all_links():
     rng = np.random.default_rng(2)
     sets = []

@@ -418,21 +418,53 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
     return tiles.mapInArrow(compare, "a binary, b binary")
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
+def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The set of every row; of every digest the smallest key and the component's root."""
     sets = common.staged(sets_of(docs, key, text), "sets")
     roots = connected(links(docs, sets, key, text))
     smallest = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("low"))
     rooted = smallest.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
+    return sets, rooted
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
+    sets, rooted = _rooted(docs, key, text)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_set = rooted.join(lowest, "root").select("digest", "component_id")
     return sets.join(of_set, "digest", "left").select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _with_digest(docs: DataFrame, name: str, key: str, text: str) -> DataFrame:
+    """``docs`` with the digest of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.blocks(batches, text, None):
+            found = pa.array([_digest(s) if len(s) else None for _, s in _per_doc(b)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.batch.columns, found], names=[*b.batch.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("binary")).schema)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row of the
-    smallest key stays.  Rows with a null key stay; rows that repeat a key stay or go
-    together."""
-    found = components(docs, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone.hint("shuffle_hash"), key, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without near duplicates.
+
+    Of each component the smallest key and, under it, the smallest digest stays,
+    whatever other texts the key has; where no row has a key, one row of the
+    smallest digest.  Rows with the same key and the same set are one document
+    and stay or go together.  Rows with an empty set stay.
+    """
+    mark = "_set"
+    while mark in docs.columns:
+        mark += "_"
+    sets, rooted = _rooted(docs, key, text)
+    rooted = common.staged(rooted, "rooted")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "digest")).alias("best")).select("root", F.col("best.low").alias("id"), F.col("best.digest").alias("stays"))
+    of_set = rooted.join(best, "root").select("digest", "id", "stays")
+    gone = sets.where(F.col(key).isNotNull()).join(of_set, "digest").where((F.col(key) != F.col("id")) | (F.col("digest") != F.col("stays")))
+    gone = gone.select(key, F.col("digest").alias(mark)).distinct()
+    kept = _with_digest(docs.where(F.col(key).isNotNull()), mark, key, text).join(gone.hint("shuffle_hash"), [key, mark], "left_anti").select(*docs.columns)
+    nameless = _with_digest(docs.where(F.col(key).isNull()), mark, key, text)
+    alone = nameless.join(best.where("id IS NULL").select(F.col("stays").alias(mark)), mark, "left_semi")
+    one = alone.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias("row")).select("row.*")
+    return kept.unionByName(one).unionByName(nameless.where(F.col(mark).isNull()).select(*docs.columns))
