@@ -286,3 +286,18 @@ def test_question_and_answer_must_both_stand_there(spark):
     kept = decontaminate.clean(df, items)
     assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 7} and kept.columns == df.columns
     assert decontaminate.clean(df, items.limit(0)).count() == 7 and decontaminate.hits(df.limit(0), items).count() == 0
+
+
+def test_near_copies_of_items_are_found(spark):
+    question, answer = "Which river crosses the old stone town of Lumbria near its ruined northern gate?", "The silver Ondra river crosses it."
+    short = "How many bridges did the masons of Lumbria raise over that river before winter came? Nine stone bridges."
+    items = spark.createDataFrame([(1, f"{question} {answer}"), (2, short)], "item_id long, text string")
+    pad = " ".join(f"filler{i}" for i in range(50))
+    one = f"{question.replace('town', 'city')} {answer.replace('Ondra', 'Undra')}"
+    two = f"{question.replace('stone', 'rock').replace('ruined', 'broken')} {answer.replace('silver', 'wide').replace('crosses', 'cuts')}"
+    more = f"{question.replace('old', 'very old')} Well: {answer.replace('Ondra', 'Ondra-like')}"
+    brief = short.replace("masons", "builders").replace("Nine stone", "Nine wooden")
+    rows = [one, two, more, brief, question, f"{question} {pad} {answer[::-1]}", f"{short[: short.index('?')]}? Nobody ever counted.", " ".join(reversed(f"{question} {answer}".split())), f"{answer} {pad}"]
+    df = spark.createDataFrame([(i, f"{pad} {t} {pad}") for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.hits(df, items).collect()} == {(0, 1), (1, 1), (2, 1), (3, 2)}
+    assert {r.doc_id for r in decontaminate.clean(df, items).collect()} == {4, 5, 6, 7, 8}

@@ -10,7 +10,9 @@ skipped, the others are walked by WAND: posting lists in item order, a pivot
 where the bounds of the lists before it add up to the threshold, scores only
 for items that all those lists have reached.  What is retrieved is verified:
 both the item's question and its answer must have enough of their word n-grams
-in the document.
+in the document, or, as one changed word costs up to five n-grams, enough of
+their words in order, the question's before the answer's, in a passage about as
+long as the item (parts of at most ``LONG`` words).
 
 Null and empty texts hold nothing and are clean; empty items, and items that
 are null, match nothing; an empty benchmark leaves all documents clean.  Ties
@@ -41,6 +43,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: n-grams of the question and of the answer that the document must hold
 GRAM, OVERLAP = 5, 0.6
+#: a passage that is compared in order has so many words for one of the item, and this many
+SPAN, SPARE = 1.25, 4
+#: parts of more words are verified by their n-grams alone, which a few changed words leave
+LONG = 200
 BLOCKS = 64
 #: an item is at least this long as far as segments go
 MIN_SEGMENT = 32
@@ -96,13 +102,15 @@ class Index:
     segment: int
     question: list[tuple[int, np.ndarray]]  # words in its n-grams, and their hashes
     answer: list[tuple[int, np.ndarray]]
+    words: list[np.ndarray]
+    n_question: list[int]  # of the words
     maybe: np.ndarray  # whether some term has these low bits
 
 
 def build(items: list[tuple[int, str]]) -> Index | None:
     """The index of some items; None if none has a word."""
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())})
-    ids, docs, question, answer = [], [], [], []
+    ids, docs, question, answer, n_question = [], [], [], [], []
     for b in common.blocks(iter([batch])):
         w = folded_words(b)
         raw = b.data.tobytes()
@@ -112,6 +120,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
                 n = question_length(raw[b.offsets[k] : b.offsets[k + 1]].decode(), len(h))
                 ids.append(int(b.ids[k]))
                 docs.append(h)
+                n_question.append(n)
                 # n-grams at the seam belong to neither side
                 question.append((min(GRAM, n), np.unique(_grams(h[:n]))))
                 answer.append((min(GRAM, len(h) - n), np.unique(_grams(h[n:]))))
@@ -119,7 +128,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
         return None
     # neighbours share a block; alike ones (by their smallest words) make tight blocks
     order = sorted(range(len(docs)), key=lambda i: (len(docs[i]) // 8, int(docs[i].min()), ids[i]))
-    ids, docs, question, answer = ([x[i] for i in order] for x in (ids, docs, question, answer))
+    ids, docs, question, answer, n_question = ([x[i] for i in order] for x in (ids, docs, question, answer, n_question))
     length = np.array([len(d) for d in docs], float)
     n = len(docs)
     who = np.repeat(np.arange(n), length.astype(int))
@@ -135,7 +144,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     np.maximum.at(block_max, (where, block_of[item]), impact.astype(np.float32) * np.float32(1 + 1e-6))
     maybe = np.zeros(1 << 16, bool)
     maybe[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-    return Index(np.array(ids), terms, np.r_[0, np.cumsum(df)], item, impact, block_of, block_max, int(max(length.max(), MIN_SEGMENT)), question, answer, maybe)
+    return Index(np.array(ids), terms, np.r_[0, np.cumsum(df)], item, impact, block_of, block_max, int(max(length.max(), MIN_SEGMENT)), question, answer, docs, n_question, maybe)
 
 
 def _wand(ix: Index, terms: np.ndarray, block: int, threshold: float) -> list[tuple[int, float]]:
@@ -173,6 +182,33 @@ def _wand(ix: Index, terms: np.ndarray, block: int, threshold: float) -> list[tu
     return out
 
 
+def _common(part: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a part and each prefix of a passage."""
+    best = np.zeros(len(passage) + 1, np.int64)
+    for word in part:
+        best[1:] = np.maximum.accumulate(np.where(passage == word, best[:-1] + 1, best[1:]))
+    return best
+
+
+def in_order(q: np.ndarray, a: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """Shares of the question's and the answer's words that stand in order, the answer's
+    after the question's, in that stretch of the words where the smaller one is largest."""
+    item = np.r_[q, a]
+    n = min(len(words), int(SPAN * len(item)) + SPARE)
+    held = np.r_[0, np.cumsum(np.isin(words, item))]
+    best = (0.0, 0.0)
+    step = max(1, (n - len(item)) // 2)
+    for at in sorted({*range(0, len(words) - n, step), len(words) - n}):
+        if held[at + n] - held[at] < OVERLAP * len(item):
+            continue
+        some = words[at : at + n]
+        before = _common(q, some) / len(q)
+        after = _common(a[::-1], some[::-1])[::-1] / len(a) if len(a) else np.ones(n + 1)
+        cut = int(np.minimum(before, after).argmax())
+        best = max(best, (float(before[cut]), float(after[cut])), key=min)
+    return best
+
+
 def matches(ix: Index, b: common.Block, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
     """(row in the block, item id, score, question overlap, answer overlap) of what is verified."""
     w = folded_words(b)
@@ -198,6 +234,7 @@ def matches(ix: Index, b: common.Block, threshold: float = THRESHOLD, overlap: f
     passage = bounds[:-1].copy()
     passage[:-1][doc_of[1:] == doc_of[:-1]] += bounds[1:-1][doc_of[1:] == doc_of[:-1]]
     found: dict[tuple[int, int], float] = {}
+    where: dict[tuple[int, int], list[int]] = {}  # first words of the passages
     edge = np.r_[starts, len(seg)]
     of_seg = {int(seg[a]): term[a:z] for a, z in zip(edge[:-1], edge[1:], strict=True)} if (passage >= threshold).any() else {}
     for s in np.flatnonzero((passage >= threshold).any(1)).tolist():
@@ -209,6 +246,7 @@ def matches(ix: Index, b: common.Block, threshold: float = THRESHOLD, overlap: f
         for block in np.flatnonzero((passage[s] >= threshold) & (exact >= threshold)).tolist():
             for item, score in _wand(ix, mine, block, threshold):
                 found[d, item] = max(score, found.get((d, item), 0.0))
+                where.setdefault((d, item), []).append(int(s - base[d]) * ix.segment)
     out = []
     grams: dict[tuple[int, int], np.ndarray] = {}
     for (d, item), score in sorted(found.items()):
@@ -223,6 +261,16 @@ def matches(ix: Index, b: common.Block, threshold: float = THRESHOLD, overlap: f
             return float(np.isin(wanted, grams[d, n], assume_unique=True).mean())
 
         q, a = share(ix.question[item]), share(ix.answer[item])
+        if q < overlap or a < overlap:
+            item_words, n = ix.words[item], ix.n_question[item]
+            near_q, near_a = item_words[max(0, n - LONG) : n], item_words[n : n + LONG]
+            spare = int(SPAN * len(item_words)) + SPARE  # edits may have made it longer than a passage
+            for at in where[d, item]:
+                x, y = in_order(near_q, near_a, words[max(0, at - spare) : at + 2 * ix.segment + spare])
+                x, y = q if n > LONG else x, a if len(item_words) - n > LONG else y
+                if x >= overlap and y >= overlap:
+                    q, a = x, y
+                    break
         if q >= overlap and a >= overlap:
             out.append((d, int(ix.item_ids[item]), score, q, a))
     return out
