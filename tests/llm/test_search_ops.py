@@ -227,6 +227,14 @@ def test_the_model_beats_unigrams_and_is_normalised(spark):
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_rounds_go_over_all_training_text(spark):
+    words = [f"{c}{d}" for c in "abcdefgh" for d in "klmno"]
+    rows = [(i, " ".join(words[j * (7 if i % 2 else 3) % 40] for j in range(60_000))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lbl.scores(df, F.lit(True)).collect()
+    assert all(r.score / r.n_tokens > -0.05 for r in got)
+
+
 def test_noise_contrastive_training_learns_a_rule():
     rng = np.random.default_rng(0)
     n = 12
