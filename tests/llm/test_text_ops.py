@@ -136,6 +136,19 @@ def test_disclosing_terms(spark):
     assert clean[1001, None] is None and clean[0, "z"] == "another text of id zero" and clean[None, "n"].startswith("[EMAIL]")
 
 
+def test_short_names_are_disclosing_terms(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(200):
+        ws = [rnd.choice(["of", "to", "in"]) if k % 5 == 0 else f"word{rnd.randrange(400)}" for k in range(40)]
+        if i % 20 == 0:
+            ws[20:21] = ["Lee", "joe@x.example.com"]
+        rows.append((i, " ".join(ws)))
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Lee" not in got[i] and "[EMAIL]" in got[i] for i in range(0, 200, 20))
+    assert all(got[i] == t for i, t in rows if i % 20)
+
+
 def test_personal_data_of_odd_rows(spark):
     df = odd_rows(spark, "places string")
     assert pii.spans(df).count() == 8 and pii.sanitise(df).count() == 8

@@ -38,8 +38,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 5
 SUPPORT = 3
 GENERALISE, REMOVE = 0.85, 0.95
-#: shorter words (in bytes) are never terms
-MIN_TERM = 4
 BLOOM_BITS = 1 << 23
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -152,7 +150,6 @@ def surroundings(docs: DataFrame, key: str, text: str) -> DataFrame:
                     after = np.flatnonzero((start >= z) & ~covered)[:WINDOW]
                     near = np.r_[before, after]
                     ctx = int.from_bytes(hashlib.blake2b(h[near].tobytes(), digest_size=8).digest(), "little", signed=True)
-                    near = near[(end - start)[near] >= MIN_TERM]
                     here = np.unique(_signed(h[near])).tolist()
                     e = canonical(kind, t[ca:cz])
                     entity += [e] * (len(here) + 1)
@@ -213,7 +210,7 @@ def term_places(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, text, key):
             w = common.find_words(b, is_space=_NOT_TERM)
-            hit = np.flatnonzero(_may_hold(filter_.value, w.hash) & (w.end - w.start >= MIN_TERM))
+            hit = np.flatnonzero(_may_hold(filter_.value, w.hash))
             # code points before each byte: bytes that don't continue one
             chars = np.r_[0, np.cumsum((b.data & 0xC0) != 0x80)]
             first = chars[b.offsets[w.doc[hit]]]
