@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: bytes that are hashed at once
+SLICE = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +47,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_salted(rows: DataFrame, right: DataFrame, key: list[str], spread_by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``right``, which has one row for each ``key``.
+
+    One key may hold a third of all rows: its rows are dealt to as many tasks as
+    there are shuffle partitions by a hash of ``spread_by``.  What ``right`` says
+    of a key goes to each of these first, through the distinct pairs.
+    """
+    salt = "_salt"
+    while salt in rows.columns or salt in right.columns:
+        salt += "_"
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"))
+    met = left.select(*key, salt).distinct().join(right, key)
+    return left.join(met, [*key, salt], how).drop(salt)
+
+
 def fold(remainder_of: str, mod: int) -> F.Column:
     """crc32 of an id as text, modulo ``mod``."""
     return F.crc32(F.col(remainder_of).cast("string")) % mod
@@ -52,19 +70,19 @@ def fold(remainder_of: str, mod: int) -> F.Column:
 
 @dataclass
 class Block:
-    """Some documents of a batch: ids, bytes of all texts end to end, offsets."""
+    """Some documents of a batch: bytes of all texts end to end, offsets, all columns."""
 
-    ids: np.ndarray
     data: np.ndarray
-    offsets: np.ndarray  # len(ids) + 1, into data
+    offsets: np.ndarray  # one more than documents, into data
     batch: pa.RecordBatch
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return len(self.offsets) - 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "doc_id", size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut batches into blocks of about ``size`` bytes; one long text is one block."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Cut batches into blocks of about ``size`` bytes; one longer text is one block,
+    and takes up to some 40 bytes of memory a byte where words are sorted."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -75,12 +93,11 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", key: str = "do
         raw = col.buffers()
         off = np.frombuffer(raw[1], np.int64)[col.offset : col.offset + len(col) + 1]
         data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
-        ids = np.asarray(batch.column(key).fill_null(-1).to_numpy(zero_copy_only=False)) if key else np.arange(len(col))
         i, n = 0, len(col)
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
             j = min(j, n)
-            yield Block(ids[i:j], data[off[i] : off[j]], off[i : j + 1] - off[i], batch.slice(i, j - i))
+            yield Block(data[off[i] : off[j]], off[i : j + 1] - off[i], batch.slice(i, j - i))
             i = j
 
 
@@ -103,14 +120,37 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    have = _pow.get(kind)
-    if have is None or len(have) < n:
-        m = max(n, BLOCK_BYTES + 4096)
-        x = np.full(m, _MUL if kind == "up" else _INV, np.uint64)
+def _powers(kind: str) -> np.ndarray:
+    """Powers 0 to ``SLICE`` of the multiplier, or of its inverse."""
+    if kind not in _pow:
+        x = np.full(SLICE + 1, _MUL if kind == "up" else _INV, np.uint64)
         x[0] = 1
-        have = _pow[kind] = np.multiply.accumulate(x)
-    return have[:n]
+        _pow[kind] = np.multiply.accumulate(x)
+    return _pow[kind]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, in slices of the text: memory for one slice is all it takes."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        a = start[i]
+        j = int(np.searchsorted(end, a + SLICE, "right"))
+        if j <= i:  # a word longer than a slice
+            total, scale = 0, 1
+            for at in range(a, end[i], SLICE):
+                some = data[at : min(at + SLICE, end[i])]
+                total += int((_LUT[some] * _powers("up")[: len(some)]).sum(dtype=np.uint64)) * scale
+                scale = scale * int(_powers("up")[SLICE]) % (1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+            continue
+        z = end[j - 1]
+        total = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(_LUT[data[a:z]] * _powers("up")[: z - a], out=total[1:])
+        out[i:j] = (total[end[i:j] - a] - total[start[i:j] - a]) * _powers("down")[start[i:j] - a]
+        i = j
+    return mix(out)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -150,9 +190,7 @@ def find_words(b: Block, lower: np.ndarray = ASCII_LOWER, is_space: np.ndarray =
     e = inside
     e[:-1] &= s[1:] | is_space[data[1:]] | begins[1:n]
     start, end = np.flatnonzero(s), np.flatnonzero(e) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LUT[lower[data]] * _powers("up", n), out=total[1:])
-    h = mix((total[end] - total[start]) * _powers("down", n + 1)[start])
+    h = _hashes(lower[data], start, end)
     first = np.searchsorted(start, b.offsets)
     doc = np.repeat(np.arange(len(b)), np.diff(first))
     return Words(start, end, doc, h, first)
@@ -161,5 +199,4 @@ def find_words(b: Block, lower: np.ndarray = ASCII_LOWER, is_space: np.ndarray =
 def hash_word(word: bytes) -> int:
     """The same hash for one word, of bytes that are lower-cased already."""
     a = np.frombuffer(word, np.uint8)
-    with np.errstate(over="ignore"):
-        return int(mix((_LUT[a] * _powers("up", len(a))).sum(dtype=np.uint64)[None])[0])
+    return int(_hashes(a, np.array([0]), np.array([len(a)]))[0])

@@ -81,7 +81,7 @@ def question_length(text: str, n_words: int) -> int:
     or, if that leaves less than three words on a side, two thirds."""
     cut = max((text.rstrip(" \t\r\n.!?").rfind(c) for c in ".!?\n"), default=-1)
     if cut >= 0:
-        head = common.Block(np.zeros(1), np.frombuffer(text[: cut + 1].encode(), np.uint8), np.array([0, len(text[: cut + 1].encode())]), None)
+        head = common.Block(np.frombuffer(text[: cut + 1].encode(), np.uint8), np.array([0, len(text[: cut + 1].encode())]), None)
         n = len(folded_words(head).hash)
         if min(n, n_words - n) >= 3:
             return n
@@ -118,7 +118,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
             h = w.hash[w.first[k] : w.first[k + 1]]
             if len(h):
                 n = question_length(raw[b.offsets[k] : b.offsets[k + 1]].decode(), len(h))
-                ids.append(int(b.ids[k]))
+                ids.append(b.batch.column("doc_id")[k].as_py())
                 docs.append(h)
                 n_question.append(n)
                 # n-grams at the seam belong to neither side
@@ -295,7 +295,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in common.blocks(batches, text, key):
+            for b in common.blocks(batches, text):
                 rows = matches(sent.value, b)
                 cols = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.float64()] * 3)]
                 yield pa.RecordBatch.from_arrays([b.batch.column(key).take(cols[0]), *cols[1:]], names=[key, "item_id", "score", "question_overlap", "answer_overlap"])
@@ -310,7 +310,7 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in common.blocks(batches, text, key):
+            for b in common.blocks(batches, text):
                 keep = np.ones(len(b), bool)
                 keep[[r[0] for r in matches(sent.value, b)]] = False
                 yield b.batch.filter(pa.array(keep))

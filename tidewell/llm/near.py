@@ -100,7 +100,7 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n_shingles and digest of the set of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text, key):
+        for b in common.blocks(batches, text):
             got = [(len(s), _digest(s) if len(s) else None) for _, s in _per_doc(b)]
             yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array([n for n, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], names=[key, "n_shingles", "digest"])
 
@@ -146,7 +146,7 @@ def _packed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "body", "docs", "sizes"])
 
         total = 0
-        for b in common.blocks(batches, text, key):
+        for b in common.blocks(batches, text):
             for _, s in _per_doc(b):
                 if len(s):
                     mark = _digest(s)
@@ -373,7 +373,7 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
     wanted = rows.join(placed.select("_key", F.col("digest").alias("_want"), "group", "block").hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key"))).select("_text", "_want", "group", "block")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, "_text", None):
+        for b in common.blocks(batches, "_text"):
             same, body = [], []
             want = b.batch.column("_want").to_pylist()
             for i, s in _per_doc(b):
@@ -439,7 +439,7 @@ def _with_digest(docs: DataFrame, name: str, key: str, text: str) -> DataFrame:
     """``docs`` with the digest of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text, None):
+        for b in common.blocks(batches, text):
             found = pa.array([_digest(s) if len(s) else None for _, s in _per_doc(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.batch.columns, found], names=[*b.batch.schema.names, name])
 

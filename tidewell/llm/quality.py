@@ -253,7 +253,7 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """key and ``x``, the array of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text, key):
+        for b in common.blocks(batches, text):
             yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array(list(features(b)), pa.list_(pa.float64()))], names=[key, "x"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, x array<double>")
@@ -279,7 +279,7 @@ def score(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "te
     """key and score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text, key):
+        for b in common.blocks(batches, text):
             yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array(model.score(features(b)), pa.float64())], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
@@ -289,7 +289,7 @@ def keep_good(docs: DataFrame, model: Additive, least: float, key: str = "doc_id
     """The rows of ``docs`` that score ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text, key):
+        for b in common.blocks(batches, text):
             yield b.batch.filter(pa.array(model.score(features(b)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

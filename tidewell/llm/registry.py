@@ -29,7 +29,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels outside the held-out fold."""
     docs = common.read(spark, sf_dir, "documents")
     model = quality.train(docs, common.read(spark, sf_dir, "labels"), common.fold("doc_id", 4) != 2)
-    return quality.score(docs, model).select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    return quality.score(docs, model).select("doc_id", F.coalesce(common.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,24 @@ WHERE rank <= 20
 """
 
 
+OP8_SQL = """
+WITH h AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, translate(
+      to_base(CAST('0x' || substr(x, 1, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(x, 11, 10) AS BIGINT), 32, 8)
+        || to_base(CAST('0x' || substr(x, 21, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(x, 31, 10) AS BIGINT), 32, 8),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM h
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CAST(CASE WHEN page_id IS DISTINCT FROM top THEN top END AS BIGINT) AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -116,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": OP10_SQL}
+    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL}
