@@ -3,17 +3,18 @@
 A text's count is stored under two digests: that of its normalised content and
 that of the tokenizer file with the library's version.  A run joins all texts
 to the stored counts, encodes one text for each digest that is missing,
-appends those counts, and joins them back.  Normalising folds runs of ASCII
-white space to one blank, which changes no count for a tokenizer that drops
-white space; ``normalise=None`` keeps texts as they are.
+appends those counts, and joins them back.  Normalising depends on the tokenizer:
+where it drops white space, runs of it are folded to one blank, which changes no
+count; for all other tokenizers contents are digested as they are.  The digest
+of the tokenizer says which of the two it was.
 
 Nulls count as empty texts (0 tokens), empty tables give empty results, and
 repeated rows are encoded once.  Columns beyond ``key`` and ``text`` are not
 read, so clashing names don't matter.
 
-Scale: what is shuffled is a digest and an id per row (pre-aggregated, so a
-third of all rows may be copies) and the texts that the cache misses, once, by
-their unique ids.
+Scale: what is shuffled is a digest and an id per row (salted, so a third of all
+rows may be copies) and the texts that the cache misses, once, by their unique
+ids.
 """
 
 from __future__ import annotations
@@ -38,11 +39,21 @@ MEMO_BYTES = 64
 _counters: dict[str, ChunkCounter | None] = {}
 
 
+#: runs of ASCII white space
+FOLD = r"[ \t\n\x0B\f\r]+"
+
+
+def normaliser(path: str) -> str | None:
+    """What is folded to a blank before contents are digested: white space, if the
+    tokenizer drops it, else nothing."""
+    return FOLD if counter(path) is not None else None
+
+
 def tokenizer_digest(path: str) -> str:
-    """Digest of the vocabulary file and the version of the library that reads it."""
+    """Digest of the vocabulary file, the version of the library that reads it, and how contents are normalised."""
     library = "sentencepiece" if path.endswith(".model") else "tokenizers"
     with open(path, "rb") as f:
-        return f"{library}-{importlib.metadata.version(library)}-{hashlib.sha256(f.read()).hexdigest()}"
+        return f"{library}-{importlib.metadata.version(library)}-{'folded' if normaliser(path) else 'as-is'}-{hashlib.sha256(f.read()).hexdigest()}"
 
 
 class ChunkCounter(dict):
@@ -117,7 +128,7 @@ def _count_batches(path: str):
     return run
 
 
-def with_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: str | None = r"[ \t\n\x0B\f\r]+") -> DataFrame:
+def with_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise: str | None = None) -> DataFrame:
     """key, text (null as empty) and the digest of the normalised content."""
     body = F.coalesce(F.col(text), F.lit(""))
     norm = F.regexp_replace(body, normalise, " ") if normalise else body
@@ -133,7 +144,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
     have = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    full = with_digests(docs, key, text)
+    full = with_digests(docs, key, text, normaliser(tokenizer_path))
     keys = common.staged(full.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "digests")
     # one row for each digest that the cache lacks: the smallest id stands for it
     lacking = keys.groupBy("content_digest").agg(F.min("doc_id").alias("doc_id")).join(have, "content_digest", "left_anti")
@@ -142,7 +153,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
     fresh = missed.mapInArrow(_count_batches(tokenizer_path), "content_digest binary, n_tokens long")
     fresh.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     now = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keys.join(now, "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    return common.join_salted(keys, now, ["content_digest"], ["doc_id"]).select("doc_id", "n_bytes", "n_tokens")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
