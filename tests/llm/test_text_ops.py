@@ -5,10 +5,13 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, html_text, pii, quality, registry, warc
 
@@ -133,6 +136,12 @@ def test_disclosing_terms(spark):
     assert by[1000] == "term:6:17" and by[30].count("term:") == 2 and "term" not in by[31]
     clean = {(r.doc_id, r.places): r.text for r in pii.sanitise(df).collect()}
     assert clean[1000, "x"] == "plain  é word1" and "[EMAIL]" in clean[30, "k"] and "anzibarian" not in clean[30, "k"]
+    assert "zanzibarian" not in clean[None, "n"]
+    odd = df.withColumnRenamed("places", "_places").withColumn("id", F.lit(1)).withColumn("mark", F.lit("m")).withColumn("row", F.lit(2))
+    again = pii.sanitise(odd)
+    assert again.columns == odd.columns and {(r.doc_id, r._places): r.text for r in again.collect()} == clean
+    by_name = df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {(r.doc_id, r.places): r.text for r in pii.sanitise(by_name).collect()} == {(i if i is None else f"d{i}", p): t for (i, p), t in clean.items()}
     assert clean[1001, None] is None and clean[0, "z"] == "another text of id zero" and clean[None, "n"].startswith("[EMAIL]")
 
 
@@ -149,6 +158,20 @@ def test_short_names_are_disclosing_terms(spark):
     assert all(got[i] == t for i, t in rows if i % 20)
 
 
+def test_terms_are_generalised_to_the_kind_they_are_tied_to():
+    spans = [(0, 5, 0), (10, 30, 3), (12, 20, 2)]
+    places = [{"start": a, "end": z} for a, z in ((5, 9), (4, 7), (25, 33), (31, 33))]
+    assert pii._with_terms(spans, places) == [(0, 5, 0), (5, 9, 4), (10, 30, 3), (12, 20, 2), (31, 33, 4)]
+
+
+def test_many_entities_take_linear_time():
+    t = " ".join(f"wörd{i} u{i}@x.example.com" for i in range(20_000))
+    batch = pa.RecordBatch.from_pydict({"text": [t]})
+    began = time.monotonic()
+    assert sum(b.num_rows for b in pii.near_entities(iter([batch]), "text")) > 100_000
+    assert time.monotonic() - began < 20
+
+
 def test_personal_data_of_odd_rows(spark):
     df = odd_rows(spark, "places string")
     assert pii.spans(df).count() == 8 and pii.sanitise(df).count() == 8

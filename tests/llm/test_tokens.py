@@ -92,6 +92,35 @@ def test_the_cache_is_used_and_grows(spark, library, tmp_path):
     assert count(spark.createDataFrame([(1, "planted", 0)], df.schema)) == [(1, 7, 77)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_white_space_counts_where_the_tokenizer_keeps_it(spark, tmp_path, name):
+    path = public_tokenizers.path(name)
+    texts = ["a  b\n\nc    d", "a b c d", " a b c d", "a b c d", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = token_counts.count_texts(path, [(t or "").encode() for t in texts])
+    assert want[0] > want[1]
+    for _ in range(2):  # counted, then from the cache
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path, f"file://{tmp_path}/c").collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_one_digest_of_most_rows(spark, library, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same old text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = token_counts.token_counts(df, PATH, f"file://{tmp_path}/c").collect()
+    assert len(got) == 3000 and {r.n_tokens for r in got if r.doc_id % 3} == {len(library.encode("same old text", add_special_tokens=False).ids)}
+
+
+def test_words_longer_than_a_slice(monkeypatch):
+    import pyarrow as pa
+
+    t = ["ab " + "xyz" * 50 + " c", "q" * 100, "ab c"]
+    b = pa.RecordBatch.from_pydict({"text": t})
+    want = common.find_words(next(common.blocks(iter([b])))).hash.tolist()
+    monkeypatch.setattr(common, "SLICE", 16)
+    monkeypatch.setattr(common, "_pow", {})
+    assert common.find_words(next(common.blocks(iter([b])))).hash.tolist() == want
+
+
 def test_empty_tables(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert trie_bpe.digests(df, PATH).count() == 0
@@ -107,6 +136,6 @@ def test_word_hashes_follow_the_words():
         got = []
         for k in common.blocks(iter([b]), size=size):
             w = common.find_words(k)
-            got += [(int(k.ids[d]), bytes(k.data[s:e]).lower(), int(h)) for d, s, e, h in zip(w.doc, w.start, w.end, w.hash, strict=True)]
+            got += [(k.batch.column("doc_id")[int(d)].as_py(), bytes(k.data[s:e]).lower(), int(h)) for d, s, e, h in zip(w.doc, w.start, w.end, w.hash, strict=True)]
         assert [(d, x) for d, x, _ in got] == [(i, x.lower()) for i, s in enumerate(t) for x in (s or "").encode().split()]
         assert all(common.hash_word(x) == h for _, x, h in got)
