@@ -45,7 +45,7 @@ from tidewell.llm.components import connected
 
 WORDS, PERCENT = 5, 75
 #: shingles that one packed chunk holds, and that one bucket gets, at most about
-CHUNK, BUCKET = 1 << 21, 1 << 21
+CHUNK, BUCKET = 1 << 19, 1 << 20
 GROUP = 512  # documents of a chunk that are decided together
 BLOCK = 64
 BITS = 4096

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,40 +31,91 @@ from tidewell.llm.word_split import WordSplit
 END = "</w>"
 #: letters of the byte-level alphabet lie below; a word's last letter is moved above
 _FINAL = 0x1000
-#: chunks (and pieces, and pairs of tokens) that a worker remembers
-MEMO = 400_000
-MEMO_BYTES = 64
+#: bytes that a worker's memory of chunks, and that of pieces, takes at most, about
+MEMO_BYTES = 64 << 20
+#: pairs of tokens that a worker remembers, of some 100 bytes each
+MEMO_PAIRS = 600_000
+#: longer chunks and pieces are forgotten at once
+MEMO_LENGTH = 64
 _FOREVER = 1 << 60
+#: texts that are encoded together
+BLOCK_BYTES = 2 << 20
+
+
+class Memory:
+    """A dictionary of bounded size: what was not asked for lately is forgotten.
+
+    Entries are held in two halves; when the young one is full, it becomes the
+    old one, and what the old one held is gone unless it was looked up since.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def known(self, keys: set) -> tuple[dict, list]:
+        """What is known of the keys, and which aren't known."""
+        young, old = self.young.get, self.old.get
+        out, fresh, again = {}, [], []
+        for k in keys:
+            value = young(k)
+            if value is None:
+                value = old(k)
+                if value is None:
+                    fresh.append(k)
+                    continue
+                again.append(k)
+            out[k] = value
+        for k in again:
+            self.put(k, out[k])
+        return out, fresh
+
+    def put(self, key, value: tuple[bytes, bytes]) -> None:
+        self.young[key] = value
+        self.size += 260 + len(key) + len(value[0]) + len(value[1])
+
+    def trim(self) -> None:
+        if 2 * self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
 
 
 class TrieBpe:
-    """Encoder and decoder of one word-level BPE file."""
+    """Encoder and decoder of one word-level BPE file.
+
+    Tokens are numbers.  ``made`` has the rank of the merge that makes a token,
+    ``first`` and ``last`` its two parts (-1 for letters), ``rank`` the rank of a
+    pair of tokens, the two numbers packed into one.
+    """
 
     def __init__(self, path: str):
         self.split = WordSplit(path)
-        spec = self.split.model
+        spec, self.split.model = self.split.model, {}
         self.text_of = {i: t for t, i in spec["vocab"].items()} | {i: t for t, i in self.split.special.items()}
         self.utf8_of = {i: b" " + t.encode() for i, t in self.text_of.items()}
-        self.rank: dict[tuple[str, str], int] = {}
-        self.parts: dict[str, tuple[str, str, int]] = {}
-        for r, m in enumerate(spec["merges"]):
-            a, b = (self._letters(x) for x in (m if isinstance(m, list) else m.split(" ")))
-            if a + b in self.parts or self.parts.get(a, ("", "", -1))[2] >= r or self.parts.get(b, ("", "", -1))[2] >= r:
-                raise ValueError("merges aren't in the order in which tokens come to be")
-            self.rank[a, b] = r
-            self.parts[a + b] = (a, b, r)
         self.id_of = {self._letters(t): i for t, i in spec["vocab"].items()}
+        n = max(self.id_of.values()) + 1
+        self.made, self.first, self.last, self.length = [_FOREVER] * n, [-1] * n, [-1] * n, [0] * n
         #: length of the longest token with these last two letters
         self.longest: dict[str, int] = {}
-        for t in self.id_of:
+        for t, i in self.id_of.items():
+            self.length[i] = len(t)
             if len(t) > 1:
                 self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
-        self._right: dict[str, list[tuple[str, int]]] = {}
-        self._left: dict[str, list[tuple[str, int]]] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
-        self._itself: dict[str, bool] = {}
-        self.pieces: dict[str | int, tuple[bytes, bytes]] = {i: (i.to_bytes(4, "little"), self.utf8_of[i]) for i in self.split.special.values()}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
+        self.rank: dict[int, int] = {}
+        self.result: list[int] = []
+        for r, m in enumerate(spec["merges"]):
+            a, b = (self._letters(x) for x in (m if isinstance(m, list) else m.split(" ")))
+            x, y, z = self.id_of[a], self.id_of[b], self.id_of[a + b]
+            if self.first[z] >= 0 or any(self.first[k] < 0 and self.length[k] > 1 for k in (x, y)):
+                raise ValueError("merges aren't in the order in which tokens come to be")
+            self.rank[x << 24 | y] = r
+            self.result.append(z)
+            self.made[z], self.first[z], self.last[z] = r, x, y
+        self._itself: dict[int, bool] = {}
+        self._fits: dict[int, bool] = {}
+        self.special = {i: (i.to_bytes(4, "little"), self.utf8_of[i]) for i in self.split.special.values()}
+        self.pieces, self.chunks = Memory(MEMO_BYTES), Memory(MEMO_BYTES)
 
     @staticmethod
     def _letters(token: str) -> str:
@@ -74,56 +125,42 @@ class TrieBpe:
             return token[:-1] + chr(ord(token[-1]) + _FINAL)
         return token
 
-    def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
-        """Symbols that stand on one edge of a token while it is built, each with
-        the rank of the merge that ends it."""
-        memo = self._right if side else self._left
-        if token not in memo:
-            out, ends = [], _FOREVER
-            while True:
-                out.append((token, ends))
-                if token not in self.parts:
-                    break
-                ends, token = self.parts[token][2], self.parts[token][side]
-            memo[out[0][0]] = out
-            return out
-        return memo[token]
-
-    def fits(self, a: str, b: str) -> bool:
-        key = (a, b)
-        known = self._fits.get(key)
-        if known is None:
-            known = True
-            for x, x_ends in self._edge(a, 1):
-                for y, y_ends in self._edge(b, 0):
-                    r = self.rank.get((x, y))
-                    # at equal ranks the leftmost pair goes first
-                    if r is not None and r < x_ends and r <= y_ends:
-                        known = False
-            if len(self._fits) > 4 * MEMO:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
-
-    def _encodes_to_itself(self, token: str) -> bool:
+    def fits(self, a: int, b: int) -> bool:
+        """Whether no merge joins a symbol on the right edge of ``a`` to one on the
+        left edge of ``b`` while both are there."""
+        made, rank = self.made, self.rank
+        x, x_ends = a, _FOREVER
+        while x >= 0:
+            y, y_ends = b, _FOREVER
+            while y >= 0:
+                r = rank.get(x << 24 | y)
+                # at equal ranks the leftmost pair goes first
+                if r is not None and r < x_ends and r <= y_ends:
+                    return False
+                y_ends, y = made[y], self.first[y]
+            x_ends, x = made[x], self.last[x]
+        return True
+
+    def _encodes_to_itself(self, token: int, text: str) -> bool:
         known = self._itself.get(token)
         if known is None:
-            parts = [*token]
+            parts = [self.id_of[c] for c in text]
             while len(parts) > 1:
-                best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), _FOREVER))
-                pair = (parts[best], parts[best + 1])
-                if pair not in self.rank:
+                ranks = [self.rank.get(x << 24 | y, _FOREVER) for x, y in zip(parts, parts[1:], strict=False)]
+                best = min(ranks)
+                if best == _FOREVER:
                     break
-                parts[best : best + 2] = ["".join(pair)]
-            known = self._itself[token] = len(parts) == 1
+                at = ranks.index(best)
+                parts[at : at + 2] = [self.result[best]]
+            known = self._itself[token] = parts == [token]
         return known
 
-    def encode_pieces(self, pieces: set[str]) -> dict[str, list[int]]:
+    def encode_pieces(self, pieces: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each piece."""
         out: dict[str, list[int]] = {}
-        state: list[str] = [""]  # of the path from the root to the node at hand
+        state: list[int] = [-1]  # of the path from the root to the node at hand
         path = ""
-        id_of, longest, fits, fits_known = self.id_of, self.longest, self.fits, self._fits
+        id_of, longest, length, fits_known = self.id_of.get, self.longest, self.length, self._fits
         for word, piece in sorted((p[:-1] + chr(ord(p[-1]) + _FINAL), p) for p in pieces):
             shared = 0
             for x, y in zip(path, word, strict=False):
@@ -134,55 +171,53 @@ class TrieBpe:
             for end in range(shared + 1, len(word) + 1):
                 reach = longest.get(word[end - 2 : end], 1) if end > 1 else 1
                 for begin in range(end - reach if end > reach else 0, end):
-                    token = word[begin:end]
-                    if token in id_of:
+                    token = id_of(word[begin:end])
+                    if token is not None:
                         if begin:
-                            before = state[begin]
-                            ok = fits_known.get((before, token))
+                            pair = state[begin] << 24 | token
+                            ok = fits_known.get(pair)
                             if ok is None:
-                                ok = fits(before, token)
-                            if ok and self._encodes_to_itself(token):
+                                ok = fits_known[pair] = self.fits(state[begin], token)
+                            if ok and self._encodes_to_itself(token, word[begin:end]):
                                 break
-                        elif self._encodes_to_itself(token):
+                        elif self._encodes_to_itself(token, word[:end]):
                             break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
                 state.append(token)
+            if len(fits_known) > MEMO_PAIRS:
+                fits_known.clear()
             path = word
             ids, at = [], len(word)
             while at:
-                ids.append(id_of[state[at]])
-                at -= len(state[at])
+                ids.append(state[at])
+                at -= length[state[at]]
             ids.reverse()
             out[piece] = ids
         return out
 
-    def learn(self, chunks: set[bytes]) -> list[bytes]:
-        """Encode the chunks that aren't known yet, over one trie of their pieces.
-        Returns the long ones, to be forgotten after use."""
-        fresh = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(fresh) > MEMO:
-            self.chunks.clear()
-            fresh = list(chunks)
-        known = self.pieces
-        if len(known) > MEMO:
-            special = {i: known[i] for i in self.split.special.values()}
-            known.clear()
-            known.update(special)
+    def learn(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """Ids and decoded text of each chunk; those that aren't known yet are encoded
+        over one trie of their pieces."""
+        out, fresh = self.chunks.known(chunks)
         split = [self.split.pieces(c.decode()) for c in fresh]
-        new = {p for ps in split for p in ps if p not in known}
+        of, new = self.pieces.known({p for ps in split for p in ps} - self.special.keys())
+        of |= self.special
         for p, ids in self.encode_pieces(new).items():
-            known[p] = (struct.pack(f"<{len(ids)}I", *ids), self._decode_spaced(ids))
+            of[p] = (struct.pack(f"<{len(ids)}I", *ids), self._decode_spaced(ids))
+            if len(p) <= MEMO_LENGTH:
+                self.pieces.put(p, of[p])
         for c, ps in zip(fresh, split, strict=True):
             if len(ps) == 1:
-                self.chunks[c] = known[ps[0]]
+                out[c] = of[ps[0]]
             else:
-                both = [known[p] for p in ps]
-                self.chunks[c] = (b"".join([x for x, _ in both]), b"".join([x for _, x in both]))
-        for p in new:
-            if len(p) > MEMO_BYTES:
-                del known[p]
-        return [c for c in fresh if len(c) > MEMO_BYTES]
+                both = [of[p] for p in ps]
+                out[c] = (b"".join([x for x, _ in both]), b"".join([x for _, x in both]))
+            if len(c) <= MEMO_LENGTH:
+                self.chunks.put(c, out[c])
+        self.pieces.trim()
+        self.chunks.trim()
+        return out
 
     def _decode_spaced(self, ids: list[int]) -> bytes:
         """Text of ids in UTF-8, a blank before each token."""
@@ -196,19 +231,16 @@ class TrieBpe:
         for t in texts:
             some.append(t.split())
             size += len(t)
-            if size > common.BLOCK_BYTES:
+            if size > BLOCK_BYTES:
                 yield from self._encode(some)
                 some, size = [], 0
         yield from self._encode(some)
 
     def _encode(self, split: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
-        long = self.learn(set().union(*split))
-        get = self.chunks.__getitem__
+        get = self.learn(set().union(*split)).__getitem__
         for chunks in split:
             both = list(map(get, chunks))
             yield b"".join([x for x, _ in both]), b"".join([x for _, x in both])[1:]
-        for c in long:
-            del self.chunks[c]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids: the tokens' strings with blanks between, as the file asks."""
