@@ -23,6 +23,7 @@ tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -32,11 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm import common
+
 #: a subtree is a template on at least this many different pages of its host ...
 MIN_PAGES = 3
 #: ... and on this share of them; within declared content on this one
 SHARE, ROOT_SHARE = 0.2, 0.5
 
+#: templates that are sent to all executors, at most; more are joined
+FEW_TEMPLATES = 1 << 18
+
 # Fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template svg math xmp noembed noframes".split())
@@ -110,76 +116,93 @@ def _describe(tag: str, attrs: str, in_root: bool) -> tuple[str, bool, bool]:
     return cls, dropped, root
 
 
+#: end tags that don't end declared content they stand in
+INLINE = frozenset("p b i em strong a span div li".split())
+#: a paragraph beyond one of these stays open
+WALLS = ("td", "th", "caption", "table", "button", "object")
+
+
+class Open:
+    """The open elements, and where those of each tag stand among them, so that no
+    step takes longer on a deep page."""
+
+    def __init__(self, top: Node):
+        self.stack, self.ended = [top], []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, x: Node) -> None:
+        self.at.setdefault(x.tag, []).append(len(self.stack))
+        self.stack.append(x)
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open element of some tags stands; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def end(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            x = self.stack.pop()
+            self.at[x.tag].pop()
+            self.ended.append(x)
+
+    def end_tag(self, tag: str) -> None:
+        k = self.last(tag)
+        if k and not (tag in INLINE and self.last(*ROOTS) > k):
+            self.end(k)
+
+    def make_room(self, tag: str) -> None:
+        """End what a start tag ends: a paragraph, or the item or cell before it."""
+        if tag in CLOSES_P:
+            p = self.last("p")
+            if p > self.last(*WALLS):
+                self.end(p)
+        elif tag in IMPLIED:
+            ends, within = IMPLIED[tag]
+            box = self.last(*within)
+            above = [self.at[t][k] for t in ends if self.at.get(t) and (k := bisect.bisect_right(self.at[t], box)) < len(self.at[t])]
+            if above:
+                self.end(min(above))
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The tree, and its elements in the order in which they end."""
+    """The tree, and its elements in the order in which they end; in linear time."""
     top = Node("", "", False, False, False)
-    stack, ended = [top], []
+    now = Open(top)
     at, n = 0, len(page)
-    match = _TAG.search
-
-    def end(depth: int) -> None:
-        while len(stack) > depth:
-            ended.append(stack.pop())
-
     while at < n:
-        m = match(page, at)
+        m = _TAG.search(page, at)
         if m is None:
-            stack[-1].children.append(page[at:])
+            now.stack[-1].children.append(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            now.stack[-1].children.append(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
+                now.stack[-1].children.append(html_lib.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    end(k)
-                    break
-                if stack[k].tag in ROOTS and tag in ("p", "b", "i", "em", "strong", "a", "span", "div", "li"):
-                    break  # a stray end tag doesn't end the content
+            now.end_tag(tag)
             continue
         attrs = m[3] if m[2] else m[6]
-        if tag in CLOSES_P and any(x.tag == "p" for x in stack):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    end(k)
-                    break
-                if stack[k].tag in ("td", "th", "caption", "table", "button", "object"):
-                    break
-        elif tag in IMPLIED:
-            ends, within = IMPLIED[tag]
-            cut = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in ends:
-                    cut = k
-            if cut is not None:
-                end(cut)
-        up = stack[-1]
+        now.make_room(tag)
+        up = now.stack[-1]
         cls, dropped, root = _describe(tag, attrs, up.in_root)
         node = Node(tag, cls, dropped or up.dropped, root, up.in_root or root)
         up.children.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
-            ended.append(node)
+            now.ended.append(node)
         elif tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             node.children.append(page[at : stop.start()] if stop else page[at:])
-            ended.append(node)
-            if stop is None:
-                at = n
-            else:
-                close = page.find(">", stop.end())
-                at = close + 1 if close >= 0 else n
+            now.ended.append(node)
+            close = page.find(">", stop.end()) if stop else -1
+            at = close + 1 if close >= 0 else n
         else:
-            stack.append(node)
-    end(1)
-    return top, ended
+            now.push(node)
+    now.end(1)
+    return top, now.ended
 
 
 def _digest(parts: list[str]) -> int:
@@ -298,8 +321,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 out.append(main_text(top, set(marks or ())))
             yield pa.RecordBatch.from_arrays([b.column(key), b.column(url), pa.array(out, pa.string())], names=[key, url, "text"])
 
-    from tidewell.llm import common
-
     base = pages.select(key, url, page)
     hosted = base.withColumn("host", F.xxhash64(host(F.col(url))))
     marks = common.staged(hosted.select(key, "host", page).mapInArrow(hashes, f"{key} {kind}, host long, content long, mark long"), "marks")
@@ -307,6 +328,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     held = marks.where("mark IS NOT NULL")
     often = held.groupBy("host", "mark").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= MIN_PAGES)
     share = F.when(F.col("mark").bitwiseAND(1) == 1, ROOT_SHARE).otherwise(SHARE)
-    templates = often.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
-    own = held.join(templates, ["host", "mark"]).groupBy(key).agg(F.collect_set("mark").alias("marks"))
+    templates = common.join_salted(often, sizes, ["host"], ["mark"]).where(F.col("n") >= share * F.col("pages")).select("host", "mark")
+    templates = common.staged(templates, "templates")
+    # 16 bytes a template; where they are too many, the marks of a hot host are dealt to many tasks
+    few = templates.count() <= FEW_TEMPLATES
+    own = held.join(F.broadcast(templates), ["host", "mark"]) if few else common.join_salted(held, templates, ["host", "mark"], [key])
+    own = own.groupBy(key).agg(F.collect_set("mark").alias("marks"))
     return base.join(own.hint("shuffle_hash"), key, "left").select(key, url, page, "marks").mapInArrow(cut, f"{key} {kind}, {url} string, text string")
