@@ -207,6 +207,25 @@ def test_main_text(page, want):
     assert html_text.main_text(html_text.parse(page)[0]) == want
 
 
+def test_deep_and_stray_elements_take_linear_time():
+    began = time.monotonic()
+    for page in ("<div>" * 30_000 + "x", "<p><table><td>" + "<div>" * 30_000 + "x", "</i>" * 30_000 + "x", "<li>" + "<b>" * 30_000 + "x<li>y", "<div>" * 9 + "</b>" * 30_000 + "x"):
+        top, ended = html_text.parse(page)
+        html_text.mark_subtrees(ended)
+        assert html_text.main_text(top).startswith("x")
+    assert time.monotonic() - began < 10
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_templates_without_names(spark, monkeypatch, few):
+    """Neither declared content nor telling names: counts decide alone, by either join."""
+    monkeypatch.setattr(html_text, "FEW_TEMPLATES", few)
+    page = '<div class=a1><ul><li>Home<li>News</ul></div><div class=b2><p>Story {i}</p><div class=c3>{ad}</div></div><div class=d4>All rights</div>'
+    rows = [(i, f"https://h{i % 2}.example/{i}", page.format(i=i, ad=f"Buy {i % 2}" if i % 3 else f"Seen {i}")) for i in range(24)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" + ("" if i % 3 else f"\nSeen {i}") for i in range(24)}
+
+
 def test_templates_are_counted_by_host(spark):
     frame = "<div><p>Welcome to our site</p></div><div><p>Text {i} of its own</p></div><table><tr><td>legal line</table>"
     rows = [(i, f"https://User@Site{i % 2}.example/p{i}", frame.format(i=i), "x") for i in range(20)]
