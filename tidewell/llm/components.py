@@ -19,9 +19,10 @@ def connected(edges: DataFrame) -> DataFrame:
     both = common.staged(both, "edges")
     labels = common.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        # the centre of a star is the neighbour of many, and the label of many
+        around = common.join_salted(both, labels.select(F.col("node").alias("b"), "root"), ["b"], ["a"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         better = labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid"))
-        jumped = better.join(labels.select(F.col("node").alias("mid"), F.col("root").alias("far")), "mid", "left")
+        jumped = common.join_salted(better, labels.select(F.col("node").alias("mid"), F.col("root").alias("far")), ["mid"], ["node"], "left")
         now = common.staged(jumped.select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), "labels")
         changed = now.where("root <> old").limit(1).count()
         labels = now.select("node", "root")

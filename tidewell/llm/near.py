@@ -9,13 +9,16 @@ linked when ``PERCENT``% of their union is common.  Links are found exactly:
    that occur once decide most documents, and the others name candidates.
    Counting moves packed 32-bit fingerprints to buckets and only the repeated
    ones back; two shingles with one fingerprint cost a candidate, never a link.
-3. Candidates that hang together are cut into blocks of sets of like size.  A
-   block is the root of a signature tree: nodes hold the OR of their sets'
-   bitmaps, the range of sizes, and the most shingles a set has beyond its bits.
-   Pairs of nodes whose largest possible overlap is too small are pruned, first
-   whole blocks, then nodes within; what is left is compared exactly, passing
-   over pairs that are connected already.
-4. Links are joined to components.
+3. Candidates that hang together are a signature tree: its leaves hold some
+   ``BLOCK`` sets of like size, neighbours by a hash of their shingles, and every
+   node, within a leaf and above, the OR of the bitmaps below, the range of
+   sizes, and the most shingles that a set has beyond its bits.
+4. Leaves are compared with themselves and the next, and what is linked then is
+   joined to components.  A dual traversal goes down from the roots, a level a
+   step over all trees: pairs of nodes whose largest possible overlap is too
+   small are pruned, and so are pairs that lie in one component as a whole.  The
+   pairs of leaves that are left are compared exactly.
+5. Links are joined to components.
 
 Null and blank texts have an empty set and are linked with nothing.  Texts of
 fewer words than a shingle have one, of all their words.  Rows with a null id
@@ -24,8 +27,10 @@ judged each by its own text.  Equal texts are copies and share a component.
 Empty tables give empty results; other columns are not read.
 
 Scale: a third of all rows may be copies of one text: they meet in one digest by
-pre-aggregation.  A large group of near copies is blocks of at most about
-``BLOCK`` sets, each pair of blocks a task's work of a bounded size.
+pre-aggregation, and joins on a digest or a root are salted.  Fingerprints go to
+their buckets in as many shuffles as it takes to write at most ``WAYS`` rows for
+each chunk of ``CHUNK``.  A group of near copies of m texts costs m/64 comparisons
+of leaves where these link it, and only what stays apart is compared further.
 """
 
 from __future__ import annotations
@@ -39,6 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.llm import common
 from tidewell.llm.components import connected
@@ -46,8 +52,11 @@ from tidewell.llm.components import connected
 WORDS, PERCENT = 5, 75
 #: shingles that one packed chunk holds, and that one bucket gets, at most about
 CHUNK, BUCKET = 1 << 19, 1 << 20
+#: rows that a chunk is cut into by one shuffle, at least (on few data) and at most
+LEAST_WAYS, WAYS = 32, 256
 GROUP = 512  # documents of a chunk that are decided together
-BLOCK = 64
+#: sets of a leaf, about; children of a node above leaves; steps in the order of neighbours
+BLOCK, FAN, STEPS = 64, 8, 1024
 BITS = 4096
 LEAF = 8
 
@@ -97,20 +106,55 @@ def overlap_needed(n: int, m: int) -> int:
 
 
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles and digest of the set of every row."""
+    """key, n_shingles and digest of the set of every row, and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches, text):
+        for b in common.blocks(batches, "_text"):
             got = [(len(s), _digest(s) if len(s) else None) for _, s in _per_doc(b)]
-            yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array([n for n, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], names=[key, "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([b.batch.column(key), b.batch.column("_print"), pa.array([n for n, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], names=[key, "print", "n_shingles", "digest"])
+
+    rows = docs.select(key, F.col(text).alias("_text"), F.xxhash64(text).alias("_print"))
+    return rows.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, print long, n_shingles long, digest binary")
+
+
+_PACKED = "bucket long, chunk long, chunks binary, body binary, docs binary, sizes binary"
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_shingles long, digest binary")
 
+def _ways(total: int) -> tuple[int, int]:
+    """Shuffles that it takes to deal so many shingles to buckets, and ways of each."""
+    buckets, levels = max(LEAST_WAYS, -(-total // BUCKET)), 1
+    while buckets > WAYS**levels:
+        levels += 1
+    ways = 1
+    while ways**levels < buckets:
+        ways += 1
+    return levels, ways
 
-_PACKED = "bucket long, chunk long, body binary, docs binary, sizes binary"
 
+def _cut(value: np.ndarray, who: np.ndarray, ways: int, last: bool) -> Iterator[tuple[int, bytes, bytes]]:
+    """Values by their lowest digit in their upper half, which is taken off: digit,
+    sorted values by byte plane (differences compress well), and whose they are.
+    In the last level only fingerprints are left."""
+    upper = value >> np.uint64(32)
+    digit = upper % np.uint64(ways)
+    value = (upper // np.uint64(ways)) << np.uint64(32) | value & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((who, value, digit))
+    value, who, digit = value[order], who[order].astype("<u4"), digit[order]
+    edge = np.flatnonzero(np.r_[True, digit[1:] != digit[:-1]]) if len(digit) else np.zeros(0, np.int64)
+    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(digit)], strict=False):
+        kind = "<u4" if last else "<u8"
+        some = value[a:z].astype(kind)
+        planes = np.diff(some, prepend=some.dtype.type(0)).astype(kind).view(np.uint8).reshape(z - a, -1).T
+        yield int(digit[a]), planes.tobytes(), who[a:z].tobytes()
 
-def _packed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
+
+def _values(body: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(body, np.uint8).reshape(-1, n)
+    kind = np.uint32 if len(planes) == 4 else np.uint64
+    return np.cumsum(planes.T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _packed(docs: DataFrame, key: str, text: str, levels: int, ways: int) -> DataFrame:
     """Fingerprints by chunk and bucket; rows with a negative bucket describe the
     documents of a chunk: digests, set sizes and numbers of distinct fingerprints."""
 
@@ -123,27 +167,24 @@ def _packed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal part
-            of = np.repeat(np.arange(len(held)), [len(s) for s in held]).astype(np.uint64)
+            of = np.repeat(np.arange(len(held), dtype=np.uint32), [len(s) for s in held])
             h = np.concatenate(held)
-            bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            # distinct fingerprints of each document, by bucket
-            one = _unique_pairs(bucket << np.uint64(32) | h & np.uint64(0xFFFFFFFF), of)
-            kinds = np.bincount(one[:, 1].astype(np.int64), minlength=len(held))
-            edges = np.searchsorted(one[:, 0] >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(-1 - part, part, b"", b"".join(marks), np.stack([np.array(sizes), kinds], 1).astype("<i8").tobytes())]
-            for k in range(buckets):
-                e = one[edges[k] : edges[k + 1]]
-                if len(e):
-                    fp = (e[:, 0] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    # sorted: differences by byte plane compress well
-                    planes = np.diff(fp, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
-                    rows.append((k, part, planes.tobytes(), e[:, 1].astype("<u2").tobytes(), b""))
+            # distinct fingerprints of each document, with the bucket above them
+            h = (h >> np.uint64(32)) % np.uint64(ways**levels) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+            order = np.lexsort((of, h))
+            h, of = h[order], of[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])]
+            h, of = h[new], of[new]
+            kinds = np.bincount(of, minlength=len(held))
+            own = np.array([part], "<i8").tobytes()
+            rows = [(-1 - part, part, own, b"", b"".join(marks), np.stack([np.array(sizes), kinds], 1).astype("<i8").tobytes())]
+            rows += [(k, part, own, body, who, b"") for k, body, who in _cut(h, of, ways, levels == 1)]
             part += 1
             seen.clear()
             held.clear()
             marks.clear()
             sizes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "body", "docs", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "chunks", "body", "docs", "sizes"])
 
         total = 0
         for b in common.blocks(batches, text):
@@ -165,11 +206,32 @@ def _packed(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, _PACKED)
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    return np.stack([a[new], b[new]], 1)
+def _loaded(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of some rows, the number of each one's chunk, and its document there."""
+    value, chunk, doc = [], [], []
+    for r in rows.sort_values("chunk").itertuples():
+        who = np.frombuffer(r.docs, "<u4")
+        value.append(_values(r.body, len(who)))
+        chunk.append(np.frombuffer(r.chunks, "<i8")[who >> 16])
+        doc.append(who & 0xFFFF)
+    return np.concatenate(value), np.concatenate(chunk), np.concatenate(doc)
+
+
+def _dealt_on(ways: int, last: bool):
+    """Chunks of a bucket are put together and cut into buckets of the next level."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] < 0:
+            return rows[[c.split()[0] for c in _PACKED.split(", ")]]
+        bucket, group = int(rows["bucket"].iloc[0]), int(rows["_group"].iloc[0])
+        value, chunk, doc = _loaded(rows)
+        chunks, at = np.unique(chunk, return_inverse=True)
+        who = at.astype(np.uint32) << np.uint32(16) | doc
+        own = chunks.astype("<i8").tobytes()
+        out = [(bucket * ways + k, group, own, body, docs, b"") for k, body, docs in _cut(value, who, ways, last)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PACKED.split(", ")])
+
+    return run
 
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,11 +243,7 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
             for g in range(0, n, GROUP):
                 out.append((r.chunk * 128 + g // GROUP, -1, r.docs[16 * g : 16 * (g + GROUP)], r.sizes[16 * g : 16 * (g + GROUP)]))
         return pd.DataFrame(out, columns=["part", "bucket", "body", "sizes"])
-    rows = rows.sort_values("chunk")
-    fps = [np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32) for x in rows["body"]]
-    docs = np.concatenate([np.frombuffer(x, "<u2") for x in rows["docs"]])
-    chunk = np.repeat(rows["chunk"].to_numpy(), [len(f) for f in fps])
-    fp = np.concatenate(fps)
+    fp, chunk, docs = _loaded(rows)
     order = np.argsort(fp, kind="stable")
     s = fp[order]
     new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -232,8 +290,13 @@ def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
 
 def candidates(docs: DataFrame, shingle_total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """shingle, digest: shared shingles among the first of each set."""
-    buckets = max(32, -(-shingle_total // BUCKET))
-    repeated = _packed(docs, key, text, buckets).groupBy("bucket").applyInPandas(_repeated, "part long, bucket long, body binary, sizes binary")
+    levels, ways = _ways(shingle_total)
+    packed, chunks = _packed(docs, key, text, levels, ways), max(1, shingle_total // CHUNK)
+    for level in range(1, levels):
+        chunks = max(1, chunks // ways)
+        group = F.when(F.col("bucket") < 0, 0).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(chunks)))
+        packed = packed.withColumn("_group", group).groupBy("bucket", "_group").applyInPandas(_dealt_on(ways, level == levels - 1), _PACKED)
+    repeated = packed.groupBy("bucket").applyInPandas(_repeated, "part long, bucket long, body binary, sizes binary")
     return repeated.groupBy("part").applyInPandas(_prefixes, "shingle long, digest binary")
 
 
@@ -330,8 +393,84 @@ def tree_links(a: Tree, b: Tree | None = None) -> list[tuple[bytes, bytes]]:
 def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.drop_duplicates("digest").sort_values("digest")
     tree = Tree(list(rows["digest"]), [np.frombuffer(x, "<u8") for x in rows["body"]])
-    bits, lo, hi, spare = tree.root()
-    return pd.DataFrame([(rows["group"].iloc[0], int(rows["block"].iloc[0]), bits, lo, hi, spare, b"".join(tree.marks), [len(s) for s in tree.sets], np.concatenate(tree.sets).astype("<u8").tobytes())], columns=["group", "block", "bits", "lo", "hi", "spare", "marks", "sizes", "body"])
+    first = rows.iloc[0]
+    return pd.DataFrame([(first["group"], first["shelf"], first["idx"], *tree.root(), b"".join(tree.marks), [len(s) for s in tree.sets], np.concatenate(tree.sets).astype("<u8").tobytes())], columns=[*_NODE, "marks", "sizes", "body"])
+
+
+_NODE = ["group", "shelf", "idx", "bits", "lo", "hi", "spare"]
+_NODE_TYPES = "group binary, shelf int, idx long, bits binary, lo long, hi long, spare long"
+
+
+def _above(rows: pd.DataFrame) -> pd.DataFrame:
+    """The node above some nodes: OR of bitmaps, range of sizes, their component if it is one."""
+    bits = np.bitwise_or.reduce(np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(len(rows), -1))
+    label = set(rows["label"])
+    first = rows.iloc[0]
+    return pd.DataFrame([(first["group"], first["shelf"], first["idx"] // FAN, bits.tobytes(), rows["lo"].min(), rows["hi"].max(), rows["spare"].max(), label.pop() if len(label) == 1 else None)], columns=[*_NODE, "label"])
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes whose sets may overlap enough."""
+    for b in batches:
+        side = []
+        for x in "ab":
+            bits = np.frombuffer(b"".join(b.column(f"bits_{x}").to_pylist()), np.uint64).reshape(b.num_rows, -1)
+            side += [bits, *(b.column(f"{c}_{x}").to_numpy() for c in ("lo", "hi", "spare"))]
+        ok = may_link(*side) if b.num_rows else np.zeros(0, bool)
+        yield b.select(_PAIR).filter(pa.array(ok))
+
+
+_PAIR = ["group", "shelf_a", "idx_a", "shelf_b", "idx_b"]
+_PAIR_TYPES = "group binary, shelf_a int, idx_a long, shelf_b int, idx_b long"
+
+
+def _side(nodes: DataFrame, x: str, columns: list[str]) -> DataFrame:
+    return nodes.select("group", *(F.col(c).alias(f"{c}_{x}") for c in ("shelf", "idx", *columns)))
+
+
+def _with_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(_side(nodes, x, columns), ["group", f"shelf_{x}", f"idx_{x}"])
+    return pairs
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the sets of pairs of leaves."""
+    for b in batches:
+        for i in range(b.num_rows):
+            cell = lambda c, i=i, b=b: b.column(c)[i]
+            one = _unpack_block(cell("marks_a").as_py(), cell("sizes_a").values.to_numpy(), cell("body_a").as_py())
+            if all(cell(f"{c}_a").as_py() == cell(f"{c}_b").as_py() for c in ("shelf", "idx")):
+                out = tree_links(one)
+            else:
+                out = tree_links(one, _unpack_block(cell("marks_b").as_py(), cell("sizes_b").values.to_numpy(), cell("body_b").as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+
+
+def _leaf_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    return _with_sides(pairs, blocks, ["marks", "sizes", "body"]).mapInArrow(_compare, "a binary, b binary")
+
+
+def _placed(named: DataFrame, sets: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Leaf (group, shelf, idx) of each set with candidates, and a row to read it from.
+
+    A small group is one leaf.  Others have a shelf for each class of sizes, so that
+    links join neighbouring shelves at most.  On a shelf sets are ordered by the
+    smallest hash of a shared shingle, in ``STEPS`` steps, and within one by a hash.
+    """
+    stand = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(key, "print")).alias("of"), F.max("n_shingles").alias("n"))
+    stand = stand.select("digest", F.col("of")[key].alias("_key"), F.col("of.print").alias("_print"), "n")
+    sign = named.groupBy("digest").agg(F.pmod(F.min(F.xxhash64("shingle")), F.lit(STEPS)).cast("int").alias("step"))
+    member = stand.join(groups.select(F.col("node").alias("digest"), F.col("root").alias("group")), "digest").join(sign, "digest")
+    member = common.staged(member, "members")
+    size = F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int")
+    member = common.join_salted(member, member.groupBy("group").agg(F.count("*").alias("m")), ["group"], ["digest"])
+    member = member.withColumn("shelf", F.when(F.col("m") <= BLOCK, F.lit(-1)).otherwise(size))
+    steps = member.groupBy("group", "shelf", "step").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("group", "shelf").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # STEPS rows
+    steps = steps.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    idx = F.floor((F.col("before") + F.pmod(F.xxhash64("digest"), F.col("c"))) / BLOCK)
+    return common.join_salted(member, steps, ["group", "shelf", "step"], ["digest"]).select("digest", "_key", "_print", "group", "shelf", idx.alias("idx"))
 
 
 def _unpack_block(marks: bytes, sizes: np.ndarray, body: bytes) -> Tree:
@@ -347,11 +486,11 @@ def _candidate_edges(named: DataFrame) -> DataFrame:
     then connect hooks, not sets, of which a group of near copies has few.
     """
     low = named.groupBy("shingle").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("shingle", "a")
-    held = named.join(low, "shingle")
+    held = common.join_salted(named, low, ["shingle"], ["digest"])
     hook = common.staged(held.groupBy("digest").agg(F.min("a").alias("r")), "hooks")
     spots = held.join(hook, "digest").select("shingle", "r").distinct()
     ends = spots.groupBy("shingle").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a <> z").select("shingle", "a")
-    more = spots.join(ends, "shingle").select("a", F.col("r").alias("b"))
+    more = common.join_salted(spots, ends, ["shingle"], ["r"]).select("a", F.col("r").alias("b"))
     return hook.select(F.col("digest").alias("a"), F.col("r").alias("b")).union(more).where("a <> b").distinct()
 
 
@@ -360,17 +499,42 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     named = common.staged(candidates(docs, total, key, text).distinct(), "candidates")
     groups = connected(_candidate_edges(named))
-    # one row stands for each set that has candidates; sets of one group lie together
-    stand = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("_key"), F.max("n_shingles").alias("n"))
-    member = stand.join(groups.select(F.col("node").alias("digest"), F.col("root").alias("group")), "digest")
-    size = F.floor(F.log("n") / float(np.log(4 / 3))).cast("int")
-    member = common.staged(member.withColumn("class", size), "members")
-    of_group = member.groupBy("group").agg(F.count("*").alias("m"))
-    of_class = member.groupBy("group", "class").agg(F.count("*").alias("mc")).join(of_group, "group")
-    of_class = of_class.select("group", "class", F.when(F.col("m") <= BLOCK, -1).otherwise(F.col("class")).alias("shelf"), F.when(F.col("m") <= BLOCK, 1).otherwise(F.ceil(F.col("mc") / BLOCK)).cast("long").alias("parts"))
-    placed = member.join(of_class, ["group", "class"]).select("digest", "_key", "group", F.xxhash64("group", "shelf", F.pmod(F.xxhash64("digest"), F.col("parts"))).alias("block"))
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    wanted = rows.join(placed.select("_key", F.col("digest").alias("_want"), "group", "block").hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key"))).select("_text", "_want", "group", "block")
+    placed = common.staged(_placed(named, sets, groups, key), "placed")
+    blocks = common.staged(_blocks(docs, placed, key, text), "blocks")
+    here = blocks.select("group", F.col("shelf").alias("shelf_a"), F.col("idx").alias("idx_a"), F.col("shelf").alias("shelf_b"), F.explode(F.array(F.col("idx"), F.col("idx") + 1)).alias("idx_b"))
+    near = common.staged(_leaf_links(here, blocks), "links")
+    most = blocks.where("shelf >= 0").agg(F.max("idx")).first()[0]
+    if most is None:  # no group has more than a leaf
+        return near
+    roots = connected(near)
+    held = placed.where("shelf >= 0").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("label", F.coalesce("root", "digest"))
+    label = held.groupBy("group", "shelf", "idx").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    label = label.select("group", "shelf", "idx", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
+    levels = [common.staged(blocks.where("shelf >= 0").select(*_NODE).join(label, ["group", "shelf", "idx"]), "nodes")]
+    while FAN ** (len(levels) - 1) <= most:
+        above = levels[-1].groupBy("group", "shelf", F.floor(F.col("idx") / FAN)).applyInPandas(_above, f"{_NODE_TYPES}, label binary")
+        levels.append(common.staged(above, "nodes"))
+    # roots of neighbouring shelves; then down, a level of all trees at a time
+    pairs = levels[-1].select("group", F.col("shelf").alias("shelf_a"), F.col("idx").alias("idx_a"), F.explode(F.array(F.col("shelf"), F.col("shelf") + 1)).alias("shelf_b"), F.col("idx").alias("idx_b"))
+    sizes_fit = (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
+    apart = ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
+    for level, nodes in reversed(list(enumerate(levels))):
+        pairs = _with_sides(pairs, nodes, ["bits", "lo", "hi", "spare", "label"]).where(sizes_fit & apart)
+        if not level:  # leaves that were compared before
+            pairs = pairs.where((F.col("shelf_a") != F.col("shelf_b")) | (F.col("idx_b") > F.col("idx_a") + 1))
+        pairs = common.staged(pairs.mapInArrow(_prune, _PAIR_TYPES), "pairs")
+        if level:
+            child = lambda x: F.explode(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda k: F.col(f"idx_{x}") * FAN + k))
+            pairs = pairs.withColumn("idx_a", child("a")).withColumn("idx_b", child("b"))
+            pairs = pairs.where((F.col("shelf_a") != F.col("shelf_b")) | (F.col("idx_a") <= F.col("idx_b")))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(_leaf_links(pairs, blocks))
+
+
+def _blocks(docs: DataFrame, placed: DataFrame, key: str, text: str) -> DataFrame:
+    """The leaves with their sets."""
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_own"))
+    right = placed.select("_key", "_print", F.col("digest").alias("_want"), "group", "shelf", "idx").hint("shuffle_hash")
+    wanted = rows.join(right, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_print"))).select("_text", "_want", "group", "shelf", "idx")
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.blocks(batches, "_text"):
@@ -380,42 +544,11 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
                 if _digest(s) == want[i]:
                     same.append(i)
                     body.append(s.astype("<u8").tobytes())
-            t = b.batch.take(pa.array(same, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column("group"), t.column("block"), t.column("_want"), pa.array(body, pa.binary())], names=["group", "block", "digest", "body"])
-
-    whole = wanted.mapInArrow(with_sets, "group binary, block long, digest binary, body binary")
-    blocks = common.staged(whole.groupBy("group", "block").applyInPandas(_pack_block, "group binary, block long, bits binary, lo long, hi long, spare long, marks binary, sizes array<int>, body binary"), "blocks")
-    meta = ("block", "bits", "lo", "hi", "spare")
-    left = blocks.select("group", *(F.col(c).alias(f"{c}_a") for c in meta))
-    right = blocks.select("group", *(F.col(c).alias(f"{c}_b") for c in meta))
-    sizes_fit = (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            side = []
-            for x in "ab":
-                bits = np.frombuffer(b"".join(b.column(f"bits_{x}").to_pylist()), np.uint64).reshape(b.num_rows, -1)
-                side += [bits, *(b.column(f"{c}_{x}").to_numpy() for c in ("lo", "hi", "spare"))]
-            ok = may_link(*side) if b.num_rows else np.zeros(0, bool)
-            yield b.select(["block_a", "block_b"]).filter(pa.array(ok))
-
-    pairs = left.join(right, "group").where((F.col("block_a") <= F.col("block_b")) & sizes_fit).mapInArrow(prune, "block_a long, block_b long")
-    full = lambda x: blocks.select(F.col("block").alias(f"block_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("marks", "sizes", "body")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for i in range(b.num_rows):
-                cell = lambda c, b=b, i=i: b.column(c)[i]
-                one = _unpack_block(cell("marks_a").as_py(), cell("sizes_a").values.to_numpy(), cell("body_a").as_py())
-                if cell("block_a").as_py() == cell("block_b").as_py():
-                    out += tree_links(one)
-                else:
-                    out += tree_links(one, _unpack_block(cell("marks_b").as_py(), cell("sizes_b").values.to_numpy(), cell("body_b").as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+            t = b.batch.select(["group", "shelf", "idx", "_want"]).take(pa.array(same, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(body, pa.binary())], names=["group", "shelf", "idx", "digest", "body"])
 
-    tiles = pairs.join(full("a"), "block_a").join(full("b"), "block_b")
-    return tiles.mapInArrow(compare, "a binary, b binary")
+    whole = wanted.mapInArrow(with_sets, "group binary, shelf int, idx long, digest binary, body binary")
+    return whole.groupBy("group", "shelf", "idx").applyInPandas(_pack_block, f"{_NODE_TYPES}, marks binary, sizes array<int>, body binary")
 
 
 def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -431,8 +564,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
     sets, rooted = _rooted(docs, key, text)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = rooted.join(lowest, "root").select("digest", "component_id")
-    return sets.join(of_set, "digest", "left").select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    of_set = common.join_salted(rooted, lowest, ["root"], ["digest"]).select("digest", "component_id")
+    return common.join_salted(sets, of_set, ["digest"], [key, "print"], "left").select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _with_digest(docs: DataFrame, name: str, key: str, text: str) -> DataFrame:
@@ -460,8 +593,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     sets, rooted = _rooted(docs, key, text)
     rooted = common.staged(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "digest")).alias("best")).select("root", F.col("best.low").alias("id"), F.col("best.digest").alias("stays"))
-    of_set = rooted.join(best, "root").select("digest", "id", "stays")
-    gone = sets.where(F.col(key).isNotNull()).join(of_set, "digest").where((F.col(key) != F.col("id")) | (F.col("digest") != F.col("stays")))
+    of_set = common.join_salted(rooted, best, ["root"], ["digest"]).select("digest", "id", "stays")
+    gone = common.join_salted(sets.where(F.col(key).isNotNull()), of_set, ["digest"], [key, "print"]).where((F.col(key) != F.col("id")) | (F.col("digest") != F.col("stays")))
     gone = gone.select(key, F.col("digest").alias(mark)).distinct()
     kept = _with_digest(docs.where(F.col(key).isNotNull()), mark, key, text).join(gone.hint("shuffle_hash"), [key, mark], "left_anti").select(*docs.columns)
     nameless = _with_digest(docs.where(F.col(key).isNull()), mark, key, text)

@@ -99,6 +99,25 @@ WHERE rank <= 20
 """
 
 
+OP7_SQL = """
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w
+), e AS (
+  SELECT r, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), c(r, m) AS (
+  SELECT r, r FROM s UNION SELECT p.b, c.m FROM c JOIN p ON p.a = c.r
+)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE (SELECT min(t.doc_id) FROM c JOIN s t ON t.r = c.m WHERE c.r = s.r) END AS component_id
+FROM s
+"""
+
 OP8_SQL = """
 WITH h AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages
@@ -134,4 +153,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_top_k": OP10_SQL}
+    return {"op7_near_duplicates": OP7_SQL, "op8_warc": OP8_SQL, "op10_top_k": OP10_SQL}
