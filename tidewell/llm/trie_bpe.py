@@ -31,12 +31,13 @@ from tidewell.llm.word_split import WordSplit
 END = "</w>"
 #: letters of the byte-level alphabet lie below; a word's last letter is moved above
 _FINAL = 0x1000
-#: bytes that a worker's memory of chunks, and that of pieces, takes at most, about
-MEMO_BYTES = 64 << 20
+#: chunks, and pieces, that each half of a worker's memory holds; an entry takes some
+#: 330 bytes, 600 at most
+MEMO = 120_000
 #: pairs of tokens that a worker remembers, of some 100 bytes each
 MEMO_PAIRS = 600_000
-#: longer chunks and pieces are forgotten at once
-MEMO_LENGTH = 64
+#: longer chunks and pieces are forgotten after use
+MEMO_LENGTH = 32
 _FOREVER = 1 << 60
 #: texts that are encoded together
 BLOCK_BYTES = 2 << 20
@@ -45,39 +46,26 @@ BLOCK_BYTES = 2 << 20
 class Memory:
     """A dictionary of bounded size: what was not asked for lately is forgotten.
 
-    Entries are held in two halves; when the young one is full, it becomes the
-    old one, and what the old one held is gone unless it was looked up since.
+    When the young half is full, it becomes the old one, and what that held is gone
+    unless it was asked for since.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.size = limit, 0
+    def __init__(self):
         self.young: dict = {}
         self.old: dict = {}
+        self.long: list = []  # keys that are forgotten next time
 
-    def known(self, keys: set) -> tuple[dict, list]:
-        """What is known of the keys, and which aren't known."""
-        young, old = self.young.get, self.old.get
-        out, fresh, again = {}, [], []
-        for k in keys:
-            value = young(k)
-            if value is None:
-                value = old(k)
-                if value is None:
-                    fresh.append(k)
-                    continue
-                again.append(k)
-            out[k] = value
-        for k in again:
-            self.put(k, out[k])
-        return out, fresh
-
-    def put(self, key, value: tuple[bytes, bytes]) -> None:
-        self.young[key] = value
-        self.size += 260 + len(key) + len(value[0]) + len(value[1])
-
-    def trim(self) -> None:
-        if 2 * self.size > self.limit:
-            self.old, self.young, self.size = self.young, {}, 0
+    def lacks(self, keys: set) -> set:
+        """The keys that aren't known; the others are in the young half now."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long = []
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        fresh = keys - self.young.keys()
+        again = self.old.keys() & fresh
+        self.young.update({k: self.old[k] for k in again})
+        return fresh - again
 
 
 class TrieBpe:
@@ -96,12 +84,12 @@ class TrieBpe:
         self.id_of = {self._letters(t): i for t, i in spec["vocab"].items()}
         n = max(self.id_of.values()) + 1
         self.made, self.first, self.last, self.length = [_FOREVER] * n, [-1] * n, [-1] * n, [0] * n
-        #: length of the longest token with these last two letters
+        #: length of the longest token with these last three letters
         self.longest: dict[str, int] = {}
         for t, i in self.id_of.items():
             self.length[i] = len(t)
-            if len(t) > 1:
-                self.longest[t[-2:]] = max(len(t), self.longest.get(t[-2:], 1))
+            if len(t) > 2:
+                self.longest[t[-3:]] = max(len(t), self.longest.get(t[-3:], 0))
         self.rank: dict[int, int] = {}
         self.result: list[int] = []
         for r, m in enumerate(spec["merges"]):
@@ -115,7 +103,7 @@ class TrieBpe:
         self._itself: dict[int, bool] = {}
         self._fits: dict[int, bool] = {}
         self.special = {i: (i.to_bytes(4, "little"), self.utf8_of[i]) for i in self.split.special.values()}
-        self.pieces, self.chunks = Memory(MEMO_BYTES), Memory(MEMO_BYTES)
+        self.pieces, self.chunks = Memory(), Memory()
 
     @staticmethod
     def _letters(token: str) -> str:
@@ -160,7 +148,7 @@ class TrieBpe:
         out: dict[str, list[int]] = {}
         state: list[int] = [-1]  # of the path from the root to the node at hand
         path = ""
-        id_of, longest, length, fits_known = self.id_of.get, self.longest, self.length, self._fits
+        id_of, longest, length, fits_known = self.id_of.get, self.longest.get, self.length, self._fits
         for word, piece in sorted((p[:-1] + chr(ord(p[-1]) + _FINAL), p) for p in pieces):
             shared = 0
             for x, y in zip(path, word, strict=False):
@@ -169,7 +157,7 @@ class TrieBpe:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                reach = longest.get(word[end - 2 : end], 1) if end > 1 else 1
+                reach = longest(word[end - 3 : end], 2) if end > 2 else end
                 for begin in range(end - reach if end > reach else 0, end):
                     token = id_of(word[begin:end])
                     if token is not None:
@@ -197,26 +185,23 @@ class TrieBpe:
         return out
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """Ids and decoded text of each chunk; those that aren't known yet are encoded
-        over one trie of their pieces."""
-        out, fresh = self.chunks.known(chunks)
-        split = [self.split.pieces(c.decode()) for c in fresh]
-        of, new = self.pieces.known({p for ps in split for p in ps} - self.special.keys())
-        of |= self.special
+        """Ids and decoded text of these chunks, at least; those that aren't known yet
+        are encoded over one trie of their pieces."""
+        fresh = self.chunks.lacks(chunks)
+        split = [(c, self.split.pieces(c.decode())) for c in fresh]
+        new = self.pieces.lacks({p for _, ps in split for p in ps} - self.special.keys())
+        of, out = self.pieces.young, self.chunks.young
         for p, ids in self.encode_pieces(new).items():
             of[p] = (struct.pack(f"<{len(ids)}I", *ids), self._decode_spaced(ids))
-            if len(p) <= MEMO_LENGTH:
-                self.pieces.put(p, of[p])
-        for c, ps in zip(fresh, split, strict=True):
+        of.update(self.special)
+        for c, ps in split:
             if len(ps) == 1:
                 out[c] = of[ps[0]]
             else:
                 both = [of[p] for p in ps]
                 out[c] = (b"".join([x for x, _ in both]), b"".join([x for _, x in both]))
-            if len(c) <= MEMO_LENGTH:
-                self.chunks.put(c, out[c])
-        self.pieces.trim()
-        self.chunks.trim()
+        self.pieces.long = [p for p in new if len(p) > MEMO_LENGTH]
+        self.chunks.long = [c for c in fresh if len(c) > MEMO_LENGTH]
         return out
 
     def _decode_spaced(self, ids: list[int]) -> bytes:

@@ -91,8 +91,10 @@ class WordSplit:
 
     def pieces_of(self, chunk: str) -> list[str]:
         if chunk.isascii() and chunk.isprintable():
-            return ASCII_SPLIT.findall(chunk.lower())
+            return [chunk.lower()] if chunk.isalpha() else ASCII_SPLIT.findall(chunk.lower())
         if LATIN.fullmatch(chunk):
+            if chunk.isalpha():
+                return [chunk.lower().encode().decode("latin-1").translate(_LETTERS)]
             return [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in LATIN_SPLIT.findall(chunk.lower())]
         t = self.tokenizer
         return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
