@@ -73,6 +73,38 @@ def test_components_equal_all_pairs(spark, monkeypatch, block):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Many leaves, three levels of nodes, and fingerprints dealt in several shuffles."""
+    for name, value in (("BLOCK", 8), ("BUCKET", 64), ("LEAST_WAYS", 2), ("WAYS", 5), ("CHUNK", 2000)):
+        monkeypatch.setattr(near, name, value)
+    assert near._ways(10_000)[0] > 2
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randrange(900)}" for _ in range(44)] for _ in range(3)]
+    boiler = [f"b{i}" for i in range(12)]
+    rows = []
+    for k in range(1500):
+        w = list(base[0] if k % 3 else base[1 + k % 2])
+        for _ in range(rnd.choice((0, 1, 1, 2))):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        w = w[rnd.randrange(4) : len(w) - rnd.randrange(4)] + (boiler if k % 5 == 0 else [])
+        rows.append((k, " ".join(w)))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
+def test_components_of_rows_without_ids(spark):
+    rows = [(None, t) for _, t in near_rows(4)[:120]] + [(9, t) for _, t in near_rows(4)[100:160]] + [(k, t) for k, t in near_rows(4)[150:]]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(got, key=key) == sorted(brute_components(rows), key=key)
+
+
+def test_keys_may_be_strings(spark):
+    rows = [(f"d{k:04}", t) for k, t in near_rows(5)[:80]]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.components(spark.createDataFrame(rows, "doc_id string, text string")).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_components_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A\tb"), (6, "a b c"), (None, "a b c"), (None, "lonely text without any id at all"), (8, "x" * 50_000), (9, "x" * 50_000), (10, "r s t u v w x y z"), (10, "r s t u v w x y z"), (11, "1 2 3 4 5 6")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -245,11 +277,11 @@ def test_probabilities_add_up_and_follow_the_definition(monkeypatch):
         want, tokens = 0.0, [*map(int, d), m.end]
         for i, w in enumerate(tokens):
             h = sum(m.context[tokens[i - o - 1] if i > o else m.end].astype(float) * m.distance[o] for o in range(lbl.CONTEXT))
-            z = m.unit @ h + m.bias[:, 0]
+            z = m.unit @ np.append(h, 1)
             want += (z[m.first[w]] - np.log(np.exp(z).sum())) / np.log(10)
             if w < 10:
                 some = m.members[m.first[w]]
-                z = m.word[some] @ h + m.word_bias[some, 0]
+                z = m.word[some] @ np.append(h, 1)
                 want += (z[m.slot[w]] - np.log(np.exp(z).sum())) / np.log(10)
         assert score == pytest.approx(want, rel=1e-4)
 
