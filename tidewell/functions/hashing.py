@@ -86,6 +86,12 @@ def with_key(df: DataFrame, tenant: str = "tenant_id", out: str = "key") -> Data
     return cur.withColumn(out, F.when(t.isNotNull(), F.shiftleft("__hi", 32).bitwiseOR(F.col("__lo")))).drop("__hi", "__lo")
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` with a fence: conditions above it are not written into the expressions
+    below, where each use of a key would spell out all of its eight steps again."""
+    return df.withColumn("__fence", F.monotonically_increasing_id()).where("__fence >= 0")
+
+
 def umod(key: Column, n: int) -> Column:
     """Unsigned remainder of a key."""
     if n < 1:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators import partitions as P
 from tidewell.operators.store import Store
 from tidewell.operators.topology import LOGICAL, Directory, IncompleteClusterError, Topology, check_fits
 
@@ -45,7 +46,11 @@ OUTBOX = T.StructType(
     ]
 )
 APPLIED = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("applied_at", T.TimestampType(), False)])
-TABLES = {"orders": ORDERS, "ledger": LEDGER, "outbox": OUTBOX, "applied": APPLIED}
+#: which messages of the outbox are delivered; the outbox itself is only added to
+DELIVERED = T.StructType([T.StructField("event_id", T.LongType(), False), T.StructField("delivered_at", T.TimestampType(), False)])
+TABLES = {"orders": ORDERS, "ledger": LEDGER, "outbox": OUTBOX, "applied": APPLIED, "delivered": DELIVERED}
+#: a credit rewrites one part of the ledger
+SPECS = {"ledger": P.HashSpec(modulus=8)}
 
 
 @dataclass
@@ -97,7 +102,7 @@ class Cluster:
             if not s.version():
                 tx = s.begin()
                 for name, schema in TABLES.items():
-                    tx.create(name, schema)
+                    tx.create(name, schema, SPECS.get(name))
                 tx.commit()
         return self
 

@@ -63,13 +63,25 @@ class RangeSpec:
     unit: str = "month"
     kind: str = "range"
 
+    def _runs(self, parts: dict[str, dict]) -> list[tuple[datetime, datetime, str | None]]:
+        """The ranges, those that are plain units and follow each other as one (without a name)."""
+        out: list[tuple[datetime, datetime, str | None]] = []
+        for lo, hi, name in sorted((parse(p["lo"]), parse(p["hi"]), n) for n, p in parts.items() if "lo" in p):
+            plain = lo == floor_to(self.unit, lo) and hi == step(self.unit, lo, 1) and name == range_name(self.unit, lo)
+            if plain and out and out[-1][1] == lo and out[-1][2] is None:
+                out[-1] = (out[-1][0], hi, None)
+            else:
+                out.append((lo, hi, None if plain else name))
+        return out
+
     def route(self, df: DataFrame, parts: dict[str, dict], out: str) -> DataFrame:
+        """One comparison for all plain units in a row, whose name follows from the time."""
         c = F.col(self.column).cast("timestamp_ntz")
+        by_time = F.concat(F.lit("p_"), F.date_format(c, {"day": "yyyy_MM_dd", "month": "yyyy_MM", "year": "yyyy"}[self.unit]))
         expr = F.lit(None).cast("string")
-        for name, p in parts.items():
-            if "lo" in p:
-                inside = (c >= F.lit(p["lo"]).cast("timestamp_ntz")) & (c < F.lit(p["hi"]).cast("timestamp_ntz"))
-                expr = F.when(inside, name).otherwise(expr)
+        for lo, hi, name in self._runs(parts):
+            inside = (c >= F.lit(str(lo)).cast("timestamp_ntz")) & (c < F.lit(str(hi)).cast("timestamp_ntz"))
+            expr = F.when(inside, by_time if name is None else F.lit(name)).otherwise(expr)
         return df.withColumn(out, F.coalesce(expr, F.lit(DEFAULT if DEFAULT in parts else None)))
 
     def touched(self, parts: dict[str, dict], lo=None, hi=None, equals=None, isin=None) -> list[str]:

@@ -6,17 +6,21 @@ there yet, so either all of its changes are seen or none, and of two writers
 one fails.  A transaction can also be prepared under a name and committed or
 rolled back later, by anyone.  Updates rewrite only the partitions that hold
 matching rows; attaching, detaching and dropping are edits of the manifest.
+
+Publishing needs a file system whose rename fails where the target exists (a
+local disk, HDFS).  Object stores rename by copying, so they need a manifest
+store of their own; data folders may lie anywhere.
 """
 
 from __future__ import annotations
 
 import copy
 import json
+import os
 import time
 import uuid
 from collections.abc import Iterable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +91,13 @@ class Store:
 
     # ---- maintenance
 
-    def _live(self, manifest: dict) -> set[str]:
-        return {d for t in manifest["tables"].values() for group in ("parts", "detached") for p in t[group].values() for d in p["dirs"]}
+    def at(self, folder: str) -> str:
+        """Path of a data folder: its own lie in the store, attached ones where they were."""
+        return folder if folder.startswith("/") or "://" in folder or folder.startswith("file:") else f"{self.root}/{folder}"
+
+    def _live(self, manifest: dict, table: str | None = None) -> set[str]:
+        tables = [t for n, t in manifest["tables"].items() if table in (None, n)]
+        return {d for t in tables for group in ("parts", "detached") for p in t[group].values() for d in p["dirs"]}
 
     def expire(self, keep: int = 1) -> int:
         """Delete folders that none of the last ``keep`` versions, nor a prepared one, refers to."""
@@ -109,11 +118,16 @@ class Store:
         return gone
 
     def size_report(self, table: str) -> DataFrame:
-        """Bytes of the current snapshot and of superseded ones that still lie there."""
-        now = self._live(self.manifest())
-        live = sum(self.files.size(f"{self.root}/{d}") for d in now)
-        whole = self.files.size(f"{self.root}/data")
-        return self.spark.createDataFrame([(table, live, max(0, whole - live))], "table string, live_bytes long, dead_bytes long")
+        """Bytes of a table's current snapshot and of its superseded ones that still lie there."""
+        now = self._live(self.manifest(), table)
+        live = sum(self.files.size(self.at(d)) for d in now)
+        own = sum(self.files.size(f"{self.root}/data/{n}") for n in self.files.list(f"{self.root}/data") if n.rpartition("-")[0] == table)
+        inside = sum(self.files.size(self.at(d)) for d in now if self.at(d) != d)
+        return self.spark.createDataFrame([(table, live, max(0, own - inside))], "table string, live_bytes long, dead_bytes long")
+
+    def view(self, table: str, name: str, version: int | None = None) -> None:
+        """A temporary view of a snapshot, for SQL."""
+        self.scan(table, version).createOrReplaceTempView(name)
 
     def tree(self, table: str) -> DataFrame:
         """Partitions with bounds, state and bytes."""
@@ -122,17 +136,17 @@ class Store:
         for group in ("parts", "detached"):
             for name, p in t[group].items():
                 bound = next((f"[{p['lo']}, {p['hi']})" if k == "lo" else f"{k} {p[k]}" for k in ("lo", "value", "remainder") if k in p), "default")
-                rows.append((table, name, bound, group == "parts", sum(self.files.size(f"{self.root}/{d}") for d in p["dirs"])))
+                rows.append((table, name, bound, group == "parts", sum(self.files.size(self.at(d)) for d in p["dirs"])))
         return self.spark.createDataFrame(rows, "parent string, partition string, bounds string, attached boolean, bytes long")
 
     def partition_rows(self, table: str) -> DataFrame:
-        """Rows of each attached partition, empty ones too."""
+        """Rows of each attached partition, empty ones too; one scan, grouped by folder."""
         tx = self.begin()
-        names = list(tx.manifest["tables"][table]["parts"])
-        got = [tx.part(table, n).select(F.lit(n).alias("partition"), F.lit(1).alias("one")) for n in names]
-        known = self.spark.createDataFrame([(n,) for n in names], "partition string")
-        counts = reduce(DataFrame.unionByName, got).groupBy("partition").agg(F.count("*").alias("rows"))
-        return known.join(counts, "partition", "left").select("partition", F.coalesce("rows", F.lit(0)).alias("rows"))
+        parts = tx.manifest["tables"][table]["parts"]
+        known = self.spark.createDataFrame([(n, d) for n, p in parts.items() for d in p["dirs"] or [None]], "partition string, folder string")
+        found = tx.with_folder(table, list(parts)).groupBy("folder").agg(F.count("*").alias("n"))
+        counts = known.join(found, "folder", "left").groupBy("partition")
+        return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 class Tx:
@@ -155,6 +169,15 @@ class Tx:
         if not self.store.files.create_text(path, json.dumps({"base": self.base, "manifest": self.manifest})):
             raise ConflictError(f"{gid} is prepared already")
 
+    def savepoint(self) -> dict:
+        """The state of the transaction, for :meth:`rollback_to`."""
+        return copy.deepcopy(self.manifest)
+
+    def rollback_to(self, point: dict) -> Tx:
+        """Undo what was done since a savepoint."""
+        self.manifest = copy.deepcopy(point)
+        return self
+
     # ---- schema
 
     def create(self, name: str, schema: T.StructType, spec: P.Spec | None = None, unique: list[str] | None = None, default: bool = False) -> Tx:
@@ -183,7 +206,17 @@ class Tx:
         schema = self.schema(name)
         if not dirs:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{d}" for d in dirs))
+        return self.spark.read.schema(schema).parquet(*(self.store.at(d) for d in dirs))
+
+    def with_folder(self, name: str, partitions: list[str]) -> DataFrame:
+        """Rows of some partitions with the data folder that each lies in."""
+        dirs = [d for n in partitions for d in self._t(name)["parts"][n]["dirs"]]
+        if not dirs:
+            return self._read(name, dirs).withColumn("folder", F.lit(None).cast("string"))
+        folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1)
+        # by their last two steps, which are unique: file systems spell the rest their own way
+        tails = F.create_map(*(F.lit(x) for d in dirs for x in (_tail(self.store.at(d)), d)))
+        return self._read(name, dirs).withColumn("folder", F.try_element_at(tails, F.substring_index(F.url_decode(folder), "/", -2)))
 
     def part(self, name: str, partition: str) -> DataFrame:
         return self._read(name, self._t(name)["parts"][partition]["dirs"])
@@ -234,8 +267,23 @@ class Tx:
         return self
 
     def insert_new(self, name: str, df: DataFrame, key: list[str]) -> Tx:
-        """Rows whose key isn't there yet; of new rows with one key, one."""
-        return self.insert(name, df.dropDuplicates(key).join(self.scan(name).select(*key), key, "left_anti"))
+        """Rows whose key isn't there yet; of new rows with one key, one.  Only partitions
+        that new rows belong to are read, and in them only row groups that may hold a key."""
+        new = df.dropDuplicates(key)
+        old = self._read(name, [d for n in self._homes(name, df, key) for d in self._t(name)["parts"][n]["dirs"]])
+        if isinstance(old.schema[key[0]].dataType, T.IntegralType):
+            low, high = df.agg(F.min(key[0]), F.max(key[0])).first()
+            old = old.where(F.col(key[0]).between(low, high)) if low is not None else old
+        return self.insert(name, new.join(old.select(*key), key, "left_anti"))
+
+    def _homes(self, name: str, df: DataFrame, key: list[str]) -> list[str]:
+        """Partitions that rows with the keys of ``df`` can lie in: all, unless the key
+        holds the partition column."""
+        spec, parts = self.spec(name), self._t(name)["parts"]
+        if (spec.range_column() or spec.tenant_column()) not in key:
+            return list(parts)
+        routed = spec.route(df.select(*key).distinct(), parts, PART).select(PART).distinct().collect()  # a row a partition
+        return [r[PART] for r in routed if r[PART] in parts]
 
     def replace(self, name: str, partitions: Iterable[str], df: DataFrame) -> Tx:
         """The given partitions' rows become ``df``, which may also add to others."""
@@ -247,9 +295,11 @@ class Tx:
         return self
 
     def _holding(self, name: str, where: Column) -> list[str]:
+        """Partitions with matching rows, found in one scan."""
         parts = self._t(name)["parts"]
-        some = [self.part(name, n).where(where).select(F.lit(n).alias("p")).limit(1) for n in parts if parts[n]["dirs"]]
-        return [r["p"] for r in reduce(DataFrame.unionByName, some).collect()] if some else []  # a row a partition
+        rows = self.with_folder(name, list(parts)).where(where).select("folder").distinct().collect()  # a row a folder
+        hit = {r["folder"] for r in rows}
+        return [n for n, p in parts.items() if hit & set(p["dirs"])]
 
     def update(self, name: str, where: Column, values: dict[str, Column], must: bool = False) -> Tx:
         """Rewrite the partitions that hold matching rows; rows move where they now belong."""
@@ -273,8 +323,12 @@ class Tx:
 
     def upsert(self, name: str, df: DataFrame, key: list[str], add: list[str] = (), put: list[str] = ()) -> Tx:
         """Insert rows by key; where the key is there, columns of ``add`` grow by the
-        new value and columns of ``put`` become it."""
-        old = self.scan(name)
+        new value and columns of ``put`` become it.  Only partitions that the new rows'
+        keys belong to are read and rewritten."""
+        homes = self._homes(name, df, key)
+        if not homes:
+            return self.insert(name, df)
+        old = self._read(name, [d for n in homes for d in self._t(name)["parts"][n]["dirs"]])
         aggs = [F.sum(c).cast(old.schema[c].dataType).alias(c) for c in add] + [F.max(c).alias(c) for c in put]
         new = df.groupBy(*key).agg(*aggs).withColumn("__new", F.lit(True))
         both = old.alias("o").join(new.alias("n"), key, "full_outer")
@@ -288,7 +342,7 @@ class Tx:
                 value[c] = F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
             else:
                 value[c] = F.col(f"o.{c}")
-        return self.replace(name, list(self._t(name)["parts"]), both.select(*(v.alias(c) for c, v in value.items())))
+        return self.replace(name, homes, both.select(*(v.alias(c) for c, v in value.items())))
 
     def truncate(self, name: str) -> Tx:
         for p in self._t(name)["parts"].values():
@@ -332,8 +386,9 @@ class Tx:
         return made
 
     def attach(self, name: str, partition: str, lo: datetime, hi: datetime, path: str, trust_footers: bool = True) -> str:
-        """Take a Parquet folder in as a partition.  Its bounds are proved from file
-        footers if they say enough, else by a scan.  Returns which of the two."""
+        """Take a Parquet folder in as a partition, where it lies: nothing is copied, and
+        the folder is never deleted here.  Its bounds are proved from file footers if
+        they say enough, else by a scan.  Returns which of the two."""
         t = self._t(name)
         P.check_free(t["parts"], lo, hi)
         control = self.spec(name).range_column()
@@ -346,9 +401,7 @@ class Tx:
             if rows.where(P.outside(F.col(control), lo, hi)).limit(1).count():
                 raise P.PartitionError(f"rows of {path} are outside the bounds of {partition}")
         self._check_default(name, lo, hi)
-        rel = f"data/{name}-{uuid.uuid4().hex}/{PART}={partition}"
-        self.spark.read.schema(self.schema(name)).parquet(path).write.parquet(f"{self.store.root}/{rel}")
-        t["parts"][partition] = {"lo": lo.isoformat(" "), "hi": hi.isoformat(" "), "dirs": [rel]}
+        t["parts"][partition] = {"lo": lo.isoformat(" "), "hi": hi.isoformat(" "), "dirs": [path if self.store.at(path) == path else f"file:{os.path.abspath(path)}"]}
         return how
 
     def split_default(self, name: str, partition: str, lo: datetime, hi: datetime) -> Tx:
@@ -377,6 +430,16 @@ class Tx:
             t["detached"][partition] = t["parts"].pop(partition)
         return self
 
+    def detach_beside_default(self, name: str, partition: str, drop: bool = False) -> Tx:
+        """What a concurrent detach takes where there is a default: the default is
+        detached, then the partition, and the default is attached again.  In one
+        transaction, and each step may have been done before."""
+        had = P.DEFAULT in self._t(name)["parts"] or P.DEFAULT in self._t(name)["detached"]
+        self.detach(name, P.DEFAULT).detach(name, partition, concurrently=True)
+        if drop:
+            self.drop_detached(name, partition)
+        return self.attach_back(name, P.DEFAULT) if had else self
+
     def attach_back(self, name: str, partition: str) -> Tx:
         t = self._t(name)
         if partition in t["detached"]:
@@ -416,6 +479,10 @@ class Tx:
         return self
 
 
+def _tail(path: str) -> str:
+    return "/".join(path.rstrip("/").rsplit("/", 2)[-2:])
+
+
 def footer_bounds(spark: SparkSession, path: str, column: str) -> tuple[int | None, int | None, int] | None:
     """Smallest and largest microsecond and the number of nulls of a timestamp
     column, from Parquet footers alone; None if some footer doesn't say."""

@@ -193,6 +193,10 @@ class Directory:
         ints = lambda m: {int(k): int(v) for k, v in (m or {}).items()}
         return cls(tuple(map(int, doc["placement"])), ints(doc.get("migrating")), ints(doc.get("pins")))
 
+    def _placed(self) -> Column:
+        """The placement as one array literal, parsed in one call."""
+        return F.expr(f"array({','.join(map(str, self.placement))})")
+
     def with_logical(self, df: DataFrame, tenant: str = "tenant_id", out: str = "logical_shard") -> DataFrame:
         return with_key(df, tenant, "__key").withColumn(out, umod(F.col("__key"), self.logical_count).cast("int")).drop("__key")
 
@@ -205,16 +209,14 @@ class Directory:
 
     def with_shard(self, df: DataFrame, tenant: str = "tenant_id", out: str = "shard") -> DataFrame:
         """An array literal of the placement, indexed by logical shard: no join, no shuffle."""
-        placed = F.array(*map(F.lit, self.placement))
-        return self.with_logical(df, tenant, "__logical").withColumn(out, F.coalesce(self._pinned(F.col(tenant)), F.element_at(placed, F.col("__logical") + 1))).drop("__logical")
+        return self.with_logical(df, tenant, "__logical").withColumn(out, F.coalesce(self._pinned(F.col(tenant)), F.element_at(self._placed(), F.col("__logical") + 1))).drop("__logical")
 
     def with_targets(self, df: DataFrame, tenant: str = "tenant_id", out: str = "targets") -> DataFrame:
         """Write targets as an array, source first."""
-        placed = F.array(*map(F.lit, self.placement))
         second = F.lit(None).cast("int")
         if self.moving:
-            second = F.try_element_at(F.create_map(*(F.lit(x) for kv in self.moving.items() for x in kv)), F.col("__logical"))
-        source = F.element_at(placed, F.col("__logical") + 1)
+            second = F.try_element_at(F.expr(f"map({','.join(f'{k},{v}' for k, v in self.moving.items())})"), F.col("__logical"))
+        source = F.element_at(self._placed(), F.col("__logical") + 1)
         pinned = self._pinned(F.col(tenant))
         both = F.when(pinned.isNotNull(), F.array(pinned)).when(second.isNotNull(), F.array(source, second)).otherwise(F.array(source))
         return self.with_logical(df, tenant, "__logical").withColumn(out, both).drop("__logical")

@@ -89,6 +89,26 @@ class TwoPhase:
     def transfer(self, gid: str, source: int, target: int, cents: int) -> None:
         self.do(gid, self.transfer_legs(source, target, cents))
 
+    def transfer_all(self, gid: str, moves: DataFrame) -> None:
+        """Many transfers (source, target, cents) as one: each shard's leg changes its
+        tenants by all that they pay and get."""
+        c = self.cluster
+        signed = moves.select(F.col("source").alias("tenant_id"), (-F.col("cents")).alias("balance_cents")).unionByName(moves.select(F.col("target").alias("tenant_id"), F.col("cents").alias("balance_cents")))
+        sums = c.topology.with_shard(signed.groupBy("tenant_id").agg(F.sum("balance_cents").alias("balance_cents"))).cache()
+
+        def leg(shard: int) -> Callable[[Tx], None]:
+            def run(tx: Tx) -> None:
+                tx.upsert("ledger", sums.where(F.col("shard") == shard).drop("shard"), ["tenant_id"], add=["balance_cents"])
+                if tx.scan("ledger").where("balance_cents < 0").limit(1).count():
+                    raise InsufficientFundsError(f"tenants of shard {shard} can't pay what they owe")
+
+            return run
+
+        try:
+            self.do(gid, {s: leg(s) for s in c.shards})
+        finally:
+            sums.unpersist()
+
     def orphans(self, older_than: float = 0.0) -> list[tuple[int, str, float]]:
         """(shard, name, age in seconds) of what is prepared and neither committed nor rolled back."""
         return [(s, gid, age) for s, store in self.cluster.stores.items() for gid, age in store.prepared() if age >= older_than]
@@ -119,11 +139,34 @@ class Outbox:
         tx.insert("outbox", row)
         tx.commit()
 
+    def transfer_all(self, moves: DataFrame) -> None:
+        """Many transfers (id, source, target, cents) at once: on each shard all its
+        debits and messages in one transaction.  A shard whose tenants can't pay all
+        that they owe changes nothing."""
+        c = self.cluster
+        if moves.where(~F.coalesce(F.col("cents") > 0, F.lit(False))).limit(1).count():
+            raise ValueError("a transfer moves a positive amount")
+        routed = c.topology.with_shard(c.topology.with_shard(moves, "source"), "target", "target_shard")
+        payload = F.to_json(F.struct(F.col("target").alias("tenant_id"), "cents", F.col("source").alias("from")))
+        rows = routed.select("shard", "source", "cents", "id", "target_shard", F.lit("credit").alias("kind"), payload.alias("payload"), F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("delivered_at")).cache()
+        try:
+            for shard, store in c.stores.items():
+                own = rows.where(F.col("shard") == shard)
+                debits = own.groupBy(F.col("source").alias("tenant_id")).agg(F.sum(-F.col("cents")).alias("balance_cents"))
+                tx = store.begin()
+                tx.upsert("ledger", debits, ["tenant_id"], add=["balance_cents"])
+                if tx.scan("ledger").where("balance_cents < 0").limit(1).count():
+                    raise InsufficientFundsError(f"tenants of shard {shard} can't pay what they owe")
+                tx.insert("outbox", own.select("id", "target_shard", "kind", "payload", "created_at", "delivered_at")).commit()
+        finally:
+            rows.unpersist()
+
     def pending(self) -> DataFrame:
         """Undelivered messages of each shard, zero included."""
         c = self.cluster
         known = c.spark.createDataFrame([(s,) for s in c.shards], "shard int")
-        found = c.read("outbox").where("delivered_at IS NULL").groupBy("shard").agg(F.count("*").alias("n"))
+        done = c.read("delivered").select("shard", F.col("event_id").alias("id"))
+        found = c.read("outbox").where("delivered_at IS NULL").join(done, ["shard", "id"], "left_anti").groupBy("shard").agg(F.count("*").alias("n"))
         return known.join(found, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("pending"))
 
     def relay_once(self, source_shard: int, batch: int = 100, crash_before_mark: bool = False) -> int:
@@ -134,7 +177,8 @@ class Outbox:
         """
         c = self.cluster
         store = c.stores[source_shard]
-        due = store.scan("outbox").where("delivered_at IS NULL").orderBy("id").limit(batch)
+        done = store.scan("delivered").select(F.col("event_id").alias("id"))
+        due = store.scan("outbox").where("delivered_at IS NULL").join(done, "id", "left_anti").orderBy("id").limit(batch)
         due = due.select("id", F.get_json_object("payload", "$.tenant_id").cast("long").alias("tenant_id"), F.get_json_object("payload", "$.cents").cast("long").alias("cents"))
         routed = c.topology.with_shard(due).cache()
         try:
@@ -142,10 +186,7 @@ class Outbox:
             for r in rows:
                 apply_credits(c, r["shard"], routed.where(F.col("shard") == r["shard"]).select("id", "tenant_id", "cents"))
             if rows and not crash_before_mark:
-                ids = routed.select(F.col("id").alias("__id"))
-                tx = store.begin()
-                old = tx.scan("outbox").join(ids, F.col("id") == F.col("__id"), "left")
-                tx.replace("outbox", ["all"], old.withColumn("delivered_at", F.when(F.col("__id").isNotNull(), F.current_timestamp()).otherwise(F.col("delivered_at"))).drop("__id")).commit()
+                store.begin().insert("delivered", routed.select(F.col("id").alias("event_id"), F.current_timestamp().alias("delivered_at"))).commit()
             return sum(r["n"] for r in rows)
         finally:
             routed.unpersist()
@@ -153,9 +194,7 @@ class Outbox:
     def replay(self, event_id: int) -> None:
         """Mark a message as undelivered again, to show that a second delivery changes nothing."""
         for store in self.cluster.stores.values():
-            tx = store.begin()
-            tx.update("outbox", F.col("id") == event_id, {"delivered_at": F.lit(None).cast("timestamp")})
-            tx.commit()
+            store.begin().delete("delivered", F.col("event_id") == event_id).commit()
 
 
 def apply_credits(cluster: Cluster, shard: int, events: DataFrame) -> None:

@@ -135,7 +135,9 @@ def skew_top_percent(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked(t: DataFrame, size: str, tie: str) -> DataFrame:
     """``place`` of each row by descending size.  Rows of one size are counted first,
-    so the running sum is over distinct sizes, not rows."""
+    so the running sum is over distinct sizes, not rows.  Where sizes are counts, there
+    are at most sqrt(2 n) different ones for n rows counted (1.4 million for 10**12),
+    which bounds the broadcast and the window without a partition key."""
     sizes = t.groupBy(size).agg(F.count("*").alias("__k"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__k").over(Window.orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(size, "__before")
     inner = F.row_number().over(Window.partitionBy(size).orderBy(tie))

@@ -48,9 +48,9 @@ def range_pruned_window(spark: SparkSession, d: str) -> DataFrame:
     spec = P.RangeSpec("placed_at", "month")
     parts = _declared(datetime(1995, 1, 1), NOW)
     lo, hi = datetime(1999, 3, 10), datetime(1999, 5, 2)
-    routed = spec.route(S.orders(spark, d), parts, "partition").where(F.col("partition").isin(spec.touched(parts, lo, hi)))
     c = F.col("placed_at")
-    rows = routed.where((c >= F.lit(str(lo)).cast("timestamp_ntz")) & (c < F.lit(str(hi)).cast("timestamp_ntz")))
+    rows = S.orders(spark, d).where((c >= F.lit(str(lo)).cast("timestamp_ntz")) & (c < F.lit(str(hi)).cast("timestamp_ntz")))
+    rows = spec.route(rows, parts, "partition").where(F.col("partition").isin(spec.touched(parts, lo, hi)))
     return rows.agg(F.count("*").alias("orders"), F.sum("total_cents").alias("total_cents"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
+from tidewell.functions.hashing import fenced
 from tidewell.operators import topology as T
 from tidewell.plans.events import since
 from tidewell.plans.routing import key_sql
@@ -20,6 +21,12 @@ def placed(spark: SparkSession, d: str, directory: T.Directory = FOUR) -> DataFr
     return directory.with_shard(directory.with_logical(S.orders(spark, d)))
 
 
+def by_tenant(spark: SparkSession, d: str, *keys: str, **aggs: F.Column) -> DataFrame:
+    """Orders summed by tenant, and then placed: a key a tenant, not a row."""
+    some = S.orders(spark, d).groupBy("tenant_id", *keys).agg(*(c.alias(n) for n, c in aggs.items()))
+    return fenced(FOUR.with_shard(FOUR.with_logical(some)))
+
+
 @query("orders_state_recent", f"WITH {_O} SELECT state, count(*) AS orders FROM o WHERE placed_at >= TIMESTAMP '{S.ORDERS_AS_OF}' - INTERVAL 365 DAY GROUP BY 1")
 def orders_state_recent(spark: SparkSession, d: str) -> DataFrame:
     return S.orders(spark, d).where(since(365, "placed_at", S.ORDERS_AS_OF)).groupBy("state").agg(F.count("*").alias("orders"))
@@ -27,13 +34,14 @@ def orders_state_recent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shard_stats", f"WITH {_P} SELECT shard, count(*) AS rows, count(DISTINCT tenant_id) AS tenants, min(id) AS first_id, max(id) AS last_id FROM p GROUP BY 1")
 def shard_stats(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d).groupBy("shard").agg(F.count("*").alias("rows"), F.countDistinct("tenant_id").alias("tenants"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    t = by_tenant(spark, d, n=F.count("*"), a=F.min("id"), z=F.max("id"))
+    return t.groupBy("shard").agg(F.sum("n").alias("rows"), F.count("*").alias("tenants"), F.min("a").alias("first_id"), F.max("z").alias("last_id"))
 
 
 @query("state_counts_scatter", f"WITH {_P} SELECT state, CAST(sum(n) AS BIGINT) AS orders, count(*) AS shards FROM (SELECT shard, state, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1")
 def state_counts_scatter(spark: SparkSession, d: str) -> DataFrame:
     """By shard, then over shards."""
-    by_shard = placed(spark, d).groupBy("shard", "state").agg(F.count("*").alias("n"))
+    by_shard = by_tenant(spark, d, "state", n=F.count("*")).groupBy("shard", "state").agg(F.sum("n").alias("n"))
     return by_shard.groupBy("state").agg(F.sum("n").alias("orders"), F.count("*").alias("shards"))
 
 
@@ -45,25 +53,19 @@ def tenant_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def misplaced(rows: DataFrame, directory: T.Directory) -> DataFrame:
-    """Rows by shard that belong elsewhere; tenants are routed once each."""
-    tenants = rows.groupBy("shard", "tenant_id").agg(F.count("*").alias("n"))
+    """Rows (shard, tenant_id, n) by shard that belong elsewhere."""
     wrong = F.when(F.col("home") != F.col("shard"), F.col("n")).otherwise(0)
-    return directory.with_shard(tenants, out="home").groupBy("shard").agg(F.sum(wrong).alias("misplaced"))
-
-
-@query("misplaced_rows", f"WITH {_P} SELECT shard, CAST(0 AS BIGINT) AS misplaced FROM p GROUP BY 1")
-def misplaced_rows(spark: SparkSession, d: str) -> DataFrame:
-    return misplaced(placed(spark, d), FOUR)
+    return fenced(directory.with_shard(rows, out="home")).groupBy("shard").agg(F.sum(wrong).alias("misplaced"))
 
 
 @query("misplaced_after_split", f"WITH {_P} SELECT shard, CAST(count(*) FILTER (WHERE logical_shard % 256 >= 128) AS BIGINT) AS misplaced FROM p GROUP BY 1")
 def misplaced_after_split(spark: SparkSession, d: str) -> DataFrame:
-    return misplaced(placed(spark, d), T.split(FOUR, 4))
+    return misplaced(by_tenant(spark, d, n=F.count("*")), T.split(FOUR, 4))
 
 
 @query("logical_range_migration", f"WITH {_P} SELECT logical_shard, count(*) AS rows FROM p WHERE logical_shard BETWEEN 128 AND 255 GROUP BY 1")
 def logical_range_migration(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d).where(F.col("logical_shard").between(128, 255)).groupBy("logical_shard").agg(F.count("*").alias("rows"))
+    return by_tenant(spark, d, n=F.count("*")).where(F.col("logical_shard").between(128, 255)).groupBy("logical_shard").agg(F.sum("n").alias("rows"))
 
 
 @query("reshard_plan", "SELECT CAST(i AS INTEGER) AS logical_shard, CAST(i // 256 AS INTEGER) AS source, CAST(i // 256 + 4 AS INTEGER) AS target FROM range(1024) r(i) WHERE i % 256 >= 128")
@@ -78,16 +80,10 @@ def reshard_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def reshard_verify(spark: SparkSession, d: str) -> DataFrame:
     """What both sides of each move have to agree on."""
-    after = T.split(FOUR, 4)
-    both = after.with_shard(placed(spark, d), out="target").where("target <> shard").withColumnRenamed("shard", "source")
     total = (F.col("id") + 2 * F.col("tenant_id") + 3 * F.col("total_cents")) % 1_000_000_007
-    return both.groupBy("source", "target").agg(F.count("*").alias("rows"), F.sum(total).alias("checksum"))
-
-
-@query("rebalance_plan", f"WITH {_P} SELECT logical_shard, count(*) AS rows FROM p GROUP BY 1")
-def rebalance_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by logical shard, what a rebalance is planned from."""
-    return placed(spark, d).groupBy("logical_shard").agg(F.count("*").alias("rows"))
+    t = by_tenant(spark, d, n=F.count("*"), c=F.sum(total))
+    moved = fenced(T.split(FOUR, 4).with_shard(t, out="target")).where("target <> shard")
+    return moved.groupBy(F.col("shard").alias("source"), "target").agg(F.sum("n").alias("rows"), F.sum("c").alias("checksum"))
 
 
 # ---- joins
