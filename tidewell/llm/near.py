@@ -57,6 +57,8 @@ LEAST_WAYS, WAYS = 32, 256
 GROUP = 512  # documents of a chunk that are decided together
 #: sets of a leaf, about; children of a node above leaves; steps in the order of neighbours
 BLOCK, FAN, STEPS = 64, 8, 1024
+#: nodes of a level that are sent to all executors, at most: 700 bytes each
+FEW_NODES = 1 << 14
 BITS = 4096
 LEAF = 8
 
@@ -428,9 +430,12 @@ def _side(nodes: DataFrame, x: str, columns: list[str]) -> DataFrame:
     return nodes.select("group", *(F.col(c).alias(f"{c}_{x}") for c in ("shelf", "idx", *columns)))
 
 
-def _with_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+def _with_sides(pairs: DataFrame, nodes: DataFrame, columns: list[str], few: int = 0) -> DataFrame:
+    """Both nodes of each pair; at most ``few`` of them are broadcast."""
+    small = few and nodes.count() <= few
     for x in "ab":
-        pairs = pairs.join(_side(nodes, x, columns), ["group", f"shelf_{x}", f"idx_{x}"])
+        side = _side(nodes, x, columns)
+        pairs = pairs.join(F.broadcast(side) if small else side, ["group", f"shelf_{x}", f"idx_{x}"])
     return pairs
 
 
@@ -464,13 +469,14 @@ def _placed(named: DataFrame, sets: DataFrame, groups: DataFrame, key: str) -> D
     member = stand.join(groups.select(F.col("node").alias("digest"), F.col("root").alias("group")), "digest").join(sign, "digest")
     member = common.staged(member, "members")
     size = F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int")
-    member = common.join_salted(member, member.groupBy("group").agg(F.count("*").alias("m")), ["group"], ["digest"])
+    whole = common.staged(member.groupBy("group").agg(F.count("*").alias("m")), "groups")
+    member = common.join_staged(member, whole, ["group"], ["digest"])
     member = member.withColumn("shelf", F.when(F.col("m") <= BLOCK, F.lit(-1)).otherwise(size))
     steps = member.groupBy("group", "shelf", "step").agg(F.count("*").alias("c"))
     before = Window.partitionBy("group", "shelf").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # STEPS rows
-    steps = steps.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    steps = common.staged(steps.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))), "steps")
     idx = F.floor((F.col("before") + F.pmod(F.xxhash64("digest"), F.col("c"))) / BLOCK)
-    return common.join_salted(member, steps, ["group", "shelf", "step"], ["digest"]).select("digest", "_key", "_print", "group", "shelf", idx.alias("idx"))
+    return common.join_staged(member, steps, ["group", "shelf", "step"], ["digest"]).select("digest", "_key", "_print", "group", "shelf", idx.alias("idx"))
 
 
 def _unpack_block(marks: bytes, sizes: np.ndarray, body: bytes) -> Tree:
@@ -483,14 +489,15 @@ def _candidate_edges(named: DataFrame) -> DataFrame:
     """Edges that connect the sets of each shared shingle.
 
     Each set is hooked to the smallest set that it shares a shingle with; shingles
-    then connect hooks, not sets, of which a group of near copies has few.
+    then connect hooks, not sets, of which a group of near copies has few.  Below
+    both joins are plain shuffles, so Spark splits the rows of a frequent shingle.
     """
     low = named.groupBy("shingle").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("shingle", "a")
-    held = common.join_salted(named, low, ["shingle"], ["digest"])
+    held = named.join(low, "shingle")
     hook = common.staged(held.groupBy("digest").agg(F.min("a").alias("r")), "hooks")
     spots = held.join(hook, "digest").select("shingle", "r").distinct()
     ends = spots.groupBy("shingle").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a <> z").select("shingle", "a")
-    more = common.join_salted(spots, ends, ["shingle"], ["r"]).select("a", F.col("r").alias("b"))
+    more = spots.join(ends, "shingle").select("a", F.col("r").alias("b"))
     return hook.select(F.col("digest").alias("a"), F.col("r").alias("b")).union(more).where("a <> b").distinct()
 
 
@@ -519,7 +526,7 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
     sizes_fit = (100 * F.col("hi_a") >= PERCENT * F.col("lo_b")) & (100 * F.col("hi_b") >= PERCENT * F.col("lo_a"))
     apart = ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
     for level, nodes in reversed(list(enumerate(levels))):
-        pairs = _with_sides(pairs, nodes, ["bits", "lo", "hi", "spare", "label"]).where(sizes_fit & apart)
+        pairs = _with_sides(pairs, nodes, ["bits", "lo", "hi", "spare", "label"], FEW_NODES).where(sizes_fit & apart)
         if not level:  # leaves that were compared before
             pairs = pairs.where((F.col("shelf_a") != F.col("shelf_b")) | (F.col("idx_b") > F.col("idx_a") + 1))
         pairs = common.staged(pairs.mapInArrow(_prune, _PAIR_TYPES), "pairs")
@@ -552,20 +559,28 @@ def _blocks(docs: DataFrame, placed: DataFrame, key: str, text: str) -> DataFram
 
 
 def _rooted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The set of every row; of every digest the smallest key and the component's root."""
+    """The set of every row; and of every digest the smallest key, which key and digest
+    come first in its component, and the smallest key there.
+
+    First is the smallest key, and under it the smallest digest; digests none of
+    whose rows has a key come last.
+    """
     sets = common.staged(sets_of(docs, key, text), "sets")
-    roots = connected(links(docs, sets, key, text))
-    smallest = sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("low"))
-    rooted = smallest.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "low", F.coalesce("root", "digest").alias("root"))
-    return sets, rooted
+    roots = connected(links(docs, sets, key, text)).withColumnRenamed("node", "digest")
+    smallest = common.staged(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min(key).alias("low")), "digests")
+    linked = common.staged(common.join_staged(smallest, roots, ["digest"], ["digest"]), "linked")
+    first = F.min(F.struct(F.col("low").isNull(), "low", "digest")).alias("first")
+    best = common.staged(linked.groupBy("root").agg(first).select("root", F.col("first.low").alias("id"), F.col("first.digest").alias("stays")), "best")
+    of_linked = common.staged(common.join_staged(linked, best, ["root"], ["digest"]).select("digest", "id", "stays"), "best")
+    of_set = common.join_staged(smallest, of_linked, ["digest"], ["digest"], "left")
+    return sets, of_set.select("digest", F.when(F.col("stays").isNull(), F.col("low")).otherwise(F.col("id")).alias("id"), F.coalesce("stays", "digest").alias("stays"))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every row."""
-    sets, rooted = _rooted(docs, key, text)
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = common.join_salted(rooted, lowest, ["root"], ["digest"]).select("digest", "component_id")
-    return common.join_salted(sets, of_set, ["digest"], [key, "print"], "left").select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))
+    sets, of_set = _rooted(docs, key, text)
+    found = common.join_salted(sets, of_set.select("digest", "id"), ["digest"], [key, "print"], "left")
+    return found.select(key, "n_shingles", F.when(F.col("digest").isNull(), F.col(key)).otherwise(F.col("id")).alias("component_id"))
 
 
 def _with_digest(docs: DataFrame, name: str, key: str, text: str) -> DataFrame:
@@ -590,14 +605,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     mark = "_set"
     while mark in docs.columns:
         mark += "_"
-    sets, rooted = _rooted(docs, key, text)
-    rooted = common.staged(rooted, "rooted")
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "digest")).alias("best")).select("root", F.col("best.low").alias("id"), F.col("best.digest").alias("stays"))
-    of_set = common.join_salted(rooted, best, ["root"], ["digest"]).select("digest", "id", "stays")
+    sets, of_set = _rooted(docs, key, text)
+    of_set = common.staged(of_set, "components")
     gone = common.join_salted(sets.where(F.col(key).isNotNull()), of_set, ["digest"], [key, "print"]).where((F.col(key) != F.col("id")) | (F.col("digest") != F.col("stays")))
     gone = gone.select(key, F.col("digest").alias(mark)).distinct()
     kept = _with_digest(docs.where(F.col(key).isNotNull()), mark, key, text).join(gone.hint("shuffle_hash"), [key, mark], "left_anti").select(*docs.columns)
     nameless = _with_digest(docs.where(F.col(key).isNull()), mark, key, text)
-    alone = nameless.join(best.where("id IS NULL").select(F.col("stays").alias(mark)), mark, "left_semi")
+    alone = nameless.join(of_set.where("id IS NULL AND digest = stays").select(F.col("digest").alias(mark)), mark, "left_semi")
     one = alone.groupBy(mark).agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias("row")).select("row.*")
     return kept.unionByName(one).unionByName(nameless.where(F.col(mark).isNull()).select(*docs.columns))

@@ -40,7 +40,7 @@ MEMO_PAIRS = 600_000
 MEMO_LENGTH = 32
 _FOREVER = 1 << 60
 #: texts that are encoded together
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Memory:
@@ -188,12 +188,15 @@ class TrieBpe:
         """Ids and decoded text of these chunks, at least; those that aren't known yet
         are encoded over one trie of their pieces."""
         fresh = self.chunks.lacks(chunks)
-        split = [(c, self.split.pieces(c.decode())) for c in fresh]
-        new = self.pieces.lacks({p for _, ps in split for p in ps} - self.special.keys())
+        plain = [(c, c.lower().decode()) for c in fresh if c.isalpha()]  # one piece, of ASCII letters
+        split = [(c, self.split.pieces(c.decode())) for c in fresh if not c.isalpha()]
+        new = self.pieces.lacks({p for _, ps in split for p in ps}.union([p for _, p in plain]) - self.special.keys())
         of, out = self.pieces.young, self.chunks.young
         for p, ids in self.encode_pieces(new).items():
             of[p] = (struct.pack(f"<{len(ids)}I", *ids), self._decode_spaced(ids))
         of.update(self.special)
+        for c, p in plain:
+            out[c] = of[p]
         for c, ps in split:
             if len(ps) == 1:
                 out[c] = of[ps[0]]
@@ -277,6 +280,6 @@ def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _slices(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for at in range(0, b.num_rows, rows):
         yield b.slice(at, rows)
