@@ -18,7 +18,7 @@ HEADLINE = [
     "events_daily_recent", "tenant_recent_top50", "events_count_all", "events_by_tenant", "orders_state_recent", "tenant_skew_top15", "skew_top_percent",
     "partition_imbalance", "latest_event_per_tenant", "range_pruned_window", "retention_doomed_count", "list_hash_tree_rows", "whale_count", "long_tail_count",
     "hash_partition_rows", "route_directory", "route_ring", "shard_stats", "state_counts_scatter", "misplaced_after_split", "feed_page1", "feed_page2",
-    "snowflake_encode", "join_colocated", "join_reference", "join_repartition", "relay_idempotent_balances", "reshard_verify",
+    "snowflake_encode", "join_on_key", "join_reference", "join_repartition", "applied_once", "reshard_verify",
 ]
 
 

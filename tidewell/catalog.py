@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidewell.plans import events, feeds, lifecycle, routing, shards, transfers  # noqa: F401
+    from tidewell.plans import events, feeds, lifecycle, routing, sharded, shards, stored, transfers  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -41,3 +41,9 @@ def month_name(ts: Column) -> Column:
 
 def json_long(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, path).cast("long")
+
+
+def like_literal(text: Column, literal: str, pattern: str = "") -> Column:
+    """LIKE for a literal, whose ``_`` and ``%`` stand for themselves, and a pattern behind it."""
+    plain = literal.replace("\\", "\\\\").replace("_", "\\_").replace("%", "\\%")
+    return text.like(plain + pattern)

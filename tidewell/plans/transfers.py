@@ -1,4 +1,4 @@
-"""Balances after transfers: debits and credits as one set of rows."""
+"""Transfers as plans over plain tables: every order moves money to another tenant."""
 
 from __future__ import annotations
 
@@ -6,85 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.catalog import query
-from tidewell.operators import topology as T
 from tidewell.operators.transfer import apply_events
-from tidewell.plans.routing import key_sql
 from tidewell.sources import tables as S
 
 OPENING = 1_000_000
-#: each twentieth order is a transfer from its tenant to another one
-_M = "m AS (SELECT o_orderkey AS id, o_custkey AS source, (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS target, CAST(1 + o_orderkey % 900 AS BIGINT) AS cents FROM orders WHERE o_orderkey % 20 = 0)"
+_M = "m AS (SELECT o_orderkey AS id, o_custkey AS source, (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) AS target, CAST(1 + o_orderkey % 900 AS BIGINT) AS cents FROM orders)"
 _L = f"l AS (SELECT DISTINCT o_custkey AS tenant_id, {OPENING}::BIGINT AS balance_cents FROM orders)"
-_SUM = "SELECT tenant_id, CAST(sum(c) AS BIGINT) AS balance_cents FROM ({parts}) GROUP BY 1"
 
 
 def moves(spark: SparkSession, d: str) -> DataFrame:
+    """id, source, target and cents of a transfer for each order."""
     n = S.table(spark, d, "customer").agg(F.count("*").alias("n"))
-    o = S.orders(spark, d).where("id % 20 = 0").join(F.broadcast(n))
+    o = S.orders(spark, d).join(F.broadcast(n))  # one row
     return o.select("id", F.col("tenant_id").alias("source"), ((F.col("tenant_id") * 7 + 3) % F.col("n")).alias("target"), (1 + F.col("id") % 900).alias("cents"))
 
 
-def _signed(m: DataFrame, tenant: str, sign: int) -> DataFrame:
-    return m.select("id", F.col(tenant).alias("tenant_id"), (F.col("cents") * sign).alias("cents"))
-
-
-def _nothing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "event_id long")
-
-
-def after_debits(spark: SparkSession, d: str) -> DataFrame:
-    return apply_events(S.ledger(S.orders(spark, d), OPENING), _nothing(spark), _signed(moves(spark, d), "source", -1))
-
-
-@query("outbox_transfer_balances", f"WITH {_M}, {_L} " + _SUM.format(parts="SELECT tenant_id, balance_cents AS c FROM l UNION ALL SELECT source, -cents FROM m"))
-def outbox_transfer_balances(spark: SparkSession, d: str) -> DataFrame:
-    """Debits are in, no message is delivered yet."""
-    return after_debits(spark, d)
-
-
-@query("relay_idempotent_balances", f"WITH {_M}, {_L} " + _SUM.format(parts="SELECT tenant_id, balance_cents AS c FROM l UNION ALL SELECT source, -cents FROM m UNION ALL SELECT target, cents FROM m"))
-def relay_idempotent_balances(spark: SparkSession, d: str) -> DataFrame:
-    """All messages, a third of them delivered before, and each of those sent again."""
-    m = _signed(moves(spark, d), "target", 1)
-    early = m.where("id % 3 = 0")
-    first = apply_events(after_debits(spark, d), _nothing(spark), early)
-    return apply_events(first, early.select(F.col("id").alias("event_id")), m.unionByName(early).unionByName(m))
-
-
-@query("twopc_conservation", f"WITH {_M}, {_L} SELECT CAST((SELECT sum(balance_cents) FROM l) AS BIGINT) AS before, CAST((SELECT sum(balance_cents) FROM l) AS BIGINT) AS after, (SELECT count(*) FROM m) AS transfers")
-def twopc_conservation(spark: SparkSession, d: str) -> DataFrame:
-    """Both legs of all transfers: the sum of balances stays."""
-    m = moves(spark, d)
-    legs = _signed(m, "source", -1).withColumn("id", F.col("id") * 2).unionByName(_signed(m, "target", 1).withColumn("id", F.col("id") * 2 + 1))
-    ledger = S.ledger(S.orders(spark, d), OPENING)
-    total = lambda df, name: df.agg(F.sum("balance_cents").alias(name))
-    return total(ledger, "before").join(total(apply_events(ledger, _nothing(spark), legs), "after")).join(m.agg(F.count("*").alias("transfers")))
-
-
-@query(
-    "pending_outbox",
-    f"""WITH {_M}, p AS (SELECT id, CAST(({key_sql("source")} % 1024) // 256 AS INTEGER) AS shard FROM m WHERE id % 3 <> 0)
-  SELECT CAST(s AS INTEGER) AS shard, (SELECT count(*) FROM p WHERE p.shard = s) AS pending FROM range(4) r(s)""",
-)
-def pending_outbox(spark: SparkSession, d: str) -> DataFrame:
-    """Undelivered messages by the shard that wrote them, empty shards too."""
-    m = T.Directory.even(1024, 4).with_shard(moves(spark, d).where("id % 3 <> 0"), "source")
-    shards = spark.range(4).select(F.col("id").cast("int").alias("shard"))
-    return shards.join(m.groupBy("shard").agg(F.count("*").alias("n")), "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("pending"))
-
-
-@query("insufficient_funds", f"WITH {_L} SELECT tenant_id, CASE WHEN balance_cents >= 1 + tenant_id * 5000 THEN balance_cents - 1 - tenant_id * 5000 ELSE balance_cents END AS balance_cents, balance_cents >= 1 + tenant_id * 5000 AS paid FROM l")
-def insufficient_funds(spark: SparkSession, d: str) -> DataFrame:
-    """A guarded debit: who can't pay keeps the balance, and it is said."""
-    owed = 1 + F.col("tenant_id") * 5000
-    can = F.col("balance_cents") >= owed
-    return S.ledger(S.orders(spark, d), OPENING).select("tenant_id", F.when(can, F.col("balance_cents") - owed).otherwise(F.col("balance_cents")).alias("balance_cents"), can.alias("paid"))
-
-
-@query("insert_on_conflict", "SELECT id, CAST(sum(cents) FILTER (WHERE first) AS BIGINT) AS cents FROM (SELECT o_orderkey AS id, CAST(o_orderkey % 100 AS BIGINT) AS cents, true AS first FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 7, o_orderkey % 3 <> 0 FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1")
-def insert_on_conflict(spark: SparkSession, d: str) -> DataFrame:
-    """New rows come in, rows whose id is there are left alone."""
-    o = S.orders(spark, d)
-    have = o.where("id % 3 = 0").select("id", (F.col("id") % 100).alias("cents"))
-    new = o.where("id % 2 = 0").select("id", F.lit(7).cast("long").alias("cents"))
-    return have.unionByName(new.join(have.select("id"), "id", "left_anti"))
+@query("applied_once", f"WITH {_M}, {_L} SELECT tenant_id, CAST(sum(c) AS BIGINT) AS balance_cents FROM (SELECT tenant_id, balance_cents AS c FROM l UNION ALL SELECT target, cents FROM m WHERE id % 3 <> 0) GROUP BY 1")
+def applied_once(spark: SparkSession, d: str) -> DataFrame:
+    """Balances after credits that each come twice and of which a third was applied before."""
+    m = moves(spark, d).select("id", F.col("target").alias("tenant_id"), "cents")
+    done = m.where("id % 3 = 0").select(F.col("id").alias("event_id"))
+    return apply_events(S.ledger(S.orders(spark, d), OPENING), done, m.unionByName(m))
