@@ -106,3 +106,58 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(out) == 3 and all("shard=7" in line for line in out)
     cli.main(["--root", f"{tmp_path}/c", "--shards", "2", "audit"])
     assert "misplaced" in capsys.readouterr().out
+
+
+def test_all_verbs(spark, tmp_path, capsys):
+    from tidewell import cli
+
+    def run(*args):
+        cli.main(["--root", f"{tmp_path}/v", "--shards", "2", *args])
+        return capsys.readouterr().out
+
+    assert "moved" in run("topology", "--sample", "500")
+    assert "imbalance" in run("seed", "--tenants", "6", "--per-tenant", "2", "--seed", "1")
+    assert run("stats").count("|") > 10
+    assert "logical_shard" in run("tenant", "1")
+    assert "2 of 2 shards" in run("count")
+    first = run("page", "--limit", "3")
+    cursor = first.split("next: ")[1].split()[0]
+    assert "read amplification: 2.0" in first and run("page", "--limit", "3", "--cursor", cursor) != first
+    assert "1000500" in run("transfer", "2pc", "1", "2", "500")
+    assert "1001000" in run("transfer", "outbox", "1", "2", "500")
+    assert run("orphans") == "" and "rolled back: 0" in run("orphans", "--resolve")
+    assert "pending" in run("audit")
+
+
+def test_explain_and_statements(spark, tmp_path):
+    from tidewell.operators import plans
+
+    o = S.table(spark, SF, "orders").where("o_orderkey > 50")
+    assert any(f.startswith("GreaterThan(o_orderkey") for f in plans.pushed_filters(o)) and "Scan parquet" in plans.plan_text(o)
+    log = plans.Statements(spark)
+    assert log.run("a", o) == o.count()
+    top = log.top(5).collect()
+    assert [(r.statement, r.calls) for r in top] == [("a", 1)] and top[0].seconds > 0
+
+
+def test_rebalancing_shrinks_the_gap(spark):
+    from tidewell.operators import topology as T
+
+    plan = catalog.queries()["rebalance_plan"](spark, SF).collect()
+    load = dict.fromkeys(range(4), 0)
+    four = T.Directory.even(1024, 4)
+    for r in four.with_shard(S.orders(spark, SF)).groupBy("shard").count().collect():
+        load[r["shard"]] = r["count"]
+    gap = max(load.values()) - min(load.values())
+    for r in plan:
+        assert load[r.source] == max(load.values()) and load[r.target] == min(load.values())
+        load[r.source] -= r.rows
+        load[r.target] += r.rows
+    assert plan and max(load.values()) - min(load.values()) < gap
+
+
+def test_routing_plans_hash_tenants_once(spark):
+    q = catalog.queries()
+    for name in ("reshard_verify", "misplaced_after_split", "shard_stats", "state_counts_scatter"):
+        assert len(q[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) < 40_000, name
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in q["range_pruned_window"](spark, SF)._jdf.queryExecution().executedPlan().toString()

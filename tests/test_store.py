@@ -143,3 +143,65 @@ def test_upsert(spark, tmp_path):
     new = orders(spark, 12).withColumns({"total_cents": F.lit(100).cast("long"), "placed_at": F.expr("timestamp_ntz'2024-01-01'")})
     s.begin().insert_new("o", new, ["id"]).commit()
     assert {r.id: r.total_cents for r in s.scan("o").collect()} == {i: i if i < 10 else 100 for i in range(12)}
+
+
+def test_attached_folders_stay_where_they_are(spark, monthly, tmp_path):
+    good = f"{tmp_path}/kept"
+    events(spark, 20, "2021-02-01").write.parquet(good)
+    tx = monthly.begin()
+    tx.attach("events", "p_2021_02", datetime(2021, 2, 1), datetime(2021, 3, 1), good)
+    tx.commit()
+    assert all("kept" in f for f in monthly.scan("events", lo=datetime(2021, 2, 1), hi=datetime(2021, 2, 10)).inputFiles() if "2021" in f or "kept" in f)
+    monthly.begin().update("events", (F.col("occurred_at") < F.expr("timestamp_ntz'2022-01-01'")) & (F.col("id") == 1), {"status": F.lit("moved")}).commit()
+    assert monthly.scan("events", lo=datetime(2021, 2, 1), hi=datetime(2021, 3, 1)).where("status = 'moved'").count() == 1
+    monthly.expire()
+    assert spark.read.parquet(good).where("status = 'moved'").count() == 0 and spark.read.parquet(good).count() == 60
+
+
+def test_sizes_are_of_one_table(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/two")
+    s.begin().create("a", ORDERS).create("ab", ORDERS).insert("a", orders(spark)).insert("ab", orders(spark)).commit()
+    s.begin().truncate("a").commit()
+    a, ab = (s.size_report(n).first() for n in ("a", "ab"))
+    assert a.live_bytes == 0 and a.dead_bytes > 0 and ab.live_bytes > 0 and ab.dead_bytes == 0
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    s = Store(spark, f"{tmp_path}/up")
+    s.begin().create("o", ORDERS, P.HashSpec(modulus=8), unique=["tenant_id"]).insert("o", orders(spark, 40)).commit()
+    parts = lambda: {n: p["dirs"] for n, p in s.manifest()["tables"]["o"]["parts"].items()}
+    before = parts()
+    one = orders(spark, 7).where("id = 6").withColumn("total_cents", F.lit(5).cast("long"))
+    s.begin().upsert("o", one.select("tenant_id", "total_cents"), ["tenant_id"], add=["total_cents"]).commit()
+    after = parts()
+    assert sum(before[n] != after[n] for n in before) == 1
+    assert s.scan("o", equals=7).first().total_cents == 11
+    again = orders(spark, 50).withColumn("total_cents", F.lit(9).cast("long"))
+    s.begin().insert_new("o", again, ["tenant_id", "id"]).commit()
+    assert s.scan("o").count() == 50
+
+
+def test_savepoints_and_views(spark, monthly):
+    tx = monthly.begin().delete("events", F.col("id") < 100)
+    point = tx.savepoint()
+    tx.truncate("events").detach("events", "p_2024_02")
+    tx.rollback_to(point).commit()
+    monthly.view("events", "events_now")
+    assert spark.sql("SELECT count(*) AS n FROM events_now").first().n == 170
+
+
+def test_detaching_beside_a_default(monthly):
+    for _ in range(2):
+        monthly.begin().detach_beside_default("events", "p_2024_01").commit()
+    t = monthly.manifest()["tables"]["events"]
+    assert P.DEFAULT in t["parts"] and set(t["detached"]) == {"p_2024_01"}
+
+
+def test_plain_ranges_are_routed_by_their_names(spark):
+    spec = P.RangeSpec("occurred_at", "month")
+    parts = {n: {"lo": str(lo), "hi": str(hi)} for n, lo, hi in P.month_plan(datetime(2024, 3, 1), 2, 3)}
+    del parts["p_2024_04"]
+    parts["half"] = {"lo": "2024-04-01 00:00:00", "hi": "2024-04-16 00:00:00"}
+    assert len(spec._runs(parts)) == 3
+    got = {r.p: r.n for r in spec.route(events(spark, 160, n=1), parts, "p").groupBy("p").agg(F.count("*").alias("n")).collect()}
+    assert got == {"p_2024_01": 31, "p_2024_02": 29, "p_2024_03": 31, "half": 15, None: 15, "p_2024_05": 31, "p_2024_06": 8}
