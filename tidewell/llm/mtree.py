@@ -7,7 +7,8 @@ nodes are pages: a pivot, a covering radius, the distance to the parent's
 pivot, the smallest id below.  A search takes the page with the best possible
 score first and stops when none can reach the k-th score; entries of a page
 are passed over by the triangle inequality on stored distances before any is
-computed.  Scores themselves are exact integers.
+computed.  Scores themselves are exact integers: products that doubles can't hold
+are made of 64-bit integers, and a score that these can't hold raises.
 
 Rows with a null id or vector, an empty vector, or null or non-finite
 components take no part.  Of rows with one id, the smallest vector counts.
@@ -15,14 +16,13 @@ Vectors are compared with those of their own length only.  An empty table
 gives an empty result.  Other columns are not read.
 
 Scale: rows are dealt by a hash of their id to trees of a bounded size, queries
-to blocks of a bounded size; each block meets each tree once, as packed rows,
-and a windowed top-k merges what the trees return.
+to blocks of a bounded size.  A tree is sent to Python once for as many as
+``BLOCKS_A_TREE`` blocks, and a windowed top-k merges what the trees return.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -58,6 +58,7 @@ class MTree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.largest = int(np.abs(vectors).max(initial=0))
         norm = (self.vectors**2).sum(1)
         self.m2 = float(norm.max()) if len(norm) else 0.0
         self.points = np.c_[self.vectors, np.sqrt(np.maximum(self.m2 - norm, 0))]
@@ -97,6 +98,10 @@ class MTree:
         """The k best (score, id), best first; ties go to the smaller id."""
         if self.root is None or k < 1:
             return []
+        most = self.largest * int(np.abs(query).max(initial=0)) * len(query)
+        if most >= 1 << 63:
+            raise ValueError("a score doesn't fit in 64 bits")
+        whole = query.astype(np.int64) if most >= 1 << 53 else None  # beyond what doubles add exactly
         query = query.astype(np.float64)
         q = np.append(query, 0.0)
         base = float(q @ q) + self.m2
@@ -125,7 +130,7 @@ class MTree:
                         vectors, ids = vectors[may], ids[may]
                 if len(ids):
                     self.computed += len(ids)
-                    score = vectors @ query
+                    score = vectors @ query if whole is None else vectors.astype(np.int64) @ whole
                     if len(found) == k:
                         near = score >= found[0][0]
                         score, ids = score[near], ids[near]
@@ -191,20 +196,20 @@ def top_k(rows: DataFrame, k: int, query_where: F.Column, key: str = "vec_id", v
     ask = sized.where(query_where).groupBy("dim", "trees", "copies", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     # a stated query set against all rows, in blocks: a block goes to each tree once
     spread = ask.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.pmod("block", "copies").alias("copy"), "queries")
-    pairs = trees.join(spread, ["dim", "tree", "copy"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                mark = (b.column("dim")[i].as_py(), b.column("tree")[i].as_py())
-                if mark != last:
-                    tree, last = MTree(*_unpack(b.column("members")[i])), mark
-                ids, vectors = _unpack(b.column("queries")[i])
-                out = [(q, s, v) for q, x in zip(ids.tolist(), vectors, strict=True) for s, v in tree.search(x, k, q)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "score", "vec_id"])
-
-    found = pairs.select("dim", "tree", "members", "queries").mapInArrow(run, "query_id long, score long, vec_id long")
+    names = ["query_id", "score", "vec_id"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        if left.num_rows and right.num_rows:
+            tree = MTree(*_unpack(left.column("members")[0]))
+            for cell in right.column("queries"):
+                ids, vectors = _unpack(cell)
+                out += [(q, s, v) for q, x in zip(ids.tolist(), vectors, strict=True) for s, v in tree.search(x, k, q)]
+        return pa.table([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=names)
+
+    where = ["dim", "tree", "copy"]
+    asked = spread.select(*(F.col(c).alias(f"to_{c}") for c in where), "queries")
+    found = trees.groupBy(*where).cogroup(asked.groupBy(*(f"to_{c}" for c in where))).applyInArrow(run, "query_id long, score long, vec_id long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -122,7 +122,7 @@ def count_texts(path: str, batch: list[bytes]) -> list[int]:
 
 def _count_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.steady(batches):
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(count_texts(path, common.texts(batch)), pa.int64())], names=["content_digest", "n_tokens"])
 
     return run

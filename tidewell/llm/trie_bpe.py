@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ MEMO_PAIRS = 600_000
 #: longer chunks and pieces are forgotten after use
 MEMO_LENGTH = 32
 _FOREVER = 1 << 60
+_SAME = np.arange(256, dtype=np.uint8)
 #: texts that are encoded together
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 class Memory:
@@ -68,6 +70,41 @@ class Memory:
         return fresh - again
 
 
+def _gathered(pieces: list[bytes], of: np.ndarray, first: np.ndarray, kind: str | type) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces end to end in the order ``of`` their uses, and where each document begins."""
+    flat = np.frombuffer(b"".join(pieces), kind)
+    size = np.array([len(x) for x in pieces], np.int64) // flat.itemsize
+    begin = np.cumsum(size) - size
+    sizes = size[of]
+    edge = np.r_[0, np.cumsum(sizes)]
+    at = np.repeat(begin[of] - edge[:-1], sizes)
+    at += np.arange(len(at))
+    return flat[at], edge[first]
+
+
+@dataclass
+class Encoded:
+    """Ids, and the text decoded from them, of the documents of a block."""
+
+    ids: np.ndarray
+    id_edges: np.ndarray
+    text: np.ndarray
+    text_edges: np.ndarray
+
+    def ids_of(self, i: int) -> np.ndarray:
+        return self.ids[self.id_edges[i] : self.id_edges[i + 1]]
+
+    def text_of(self, i: int) -> np.ndarray:
+        """In UTF-8; every token has a blank before it, the first one's is dropped."""
+        a, z = self.text_edges[i], self.text_edges[i + 1]
+        return self.text[min(a + 1, z) : z]
+
+    def marks(self) -> list[pa.Array]:
+        """SHA-256 of the ids and of the text of each document."""
+        n = range(len(self.id_edges) - 1)
+        return [pa.array([hashlib.sha256(part(i)).hexdigest() for i in n], pa.string()) for part in (self.ids_of, self.text_of)]
+
+
 class TrieBpe:
     """Encoder and decoder of one word-level BPE file.
 
@@ -84,12 +121,12 @@ class TrieBpe:
         self.id_of = {self._letters(t): i for t, i in spec["vocab"].items()}
         n = max(self.id_of.values()) + 1
         self.made, self.first, self.last, self.length = [_FOREVER] * n, [-1] * n, [-1] * n, [0] * n
-        #: length of the longest token with these last three letters
+        #: length of the longest token with these last four letters
         self.longest: dict[str, int] = {}
         for t, i in self.id_of.items():
             self.length[i] = len(t)
-            if len(t) > 2:
-                self.longest[t[-3:]] = max(len(t), self.longest.get(t[-3:], 0))
+            if len(t) > 3:
+                self.longest[t[-4:]] = max(len(t), self.longest.get(t[-4:], 0))
         self.rank: dict[int, int] = {}
         self.result: list[int] = []
         for r, m in enumerate(spec["merges"]):
@@ -157,7 +194,7 @@ class TrieBpe:
                 shared += 1
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                reach = longest(word[end - 3 : end], 2) if end > 2 else end
+                reach = longest(word[end - 4 : end], 3) if end > 3 else end
                 for begin in range(end - reach if end > reach else 0, end):
                     token = id_of(word[begin:end])
                     if token is not None:
@@ -212,23 +249,29 @@ class TrieBpe:
         text = self.utf8_of
         return b"".join([text[i] for i in ids])
 
+    def encode_block(self, b: common.Block) -> Encoded:
+        """All documents of a block.  Distinct chunks are encoded once, by their 64-bit
+        hashes; the rest is gathering in numpy."""
+        w = common.find_words(b, _SAME)
+        order = np.argsort(w.hash)
+        same = w.hash[order]
+        new = np.r_[True, same[1:] != same[:-1]] if len(same) else np.zeros(0, bool)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        raw = b.data.tobytes()
+        chunks = [raw[x:y] for x, y in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
+        known = self.learn(set(chunks))
+        both = [known[c] for c in chunks]
+        return Encoded(*_gathered([x for x, _ in both], of, w.first, "<u4"), *_gathered([x for _, x in both], of, w.first, np.uint8))
+
     def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids and, decoded from them, its text in UTF-8."""
-        some: list[list[bytes]] = []
-        size = 0
-        for t in texts:
-            some.append(t.split())
-            size += len(t)
-            if size > BLOCK_BYTES:
-                yield from self._encode(some)
-                some, size = [], 0
-        yield from self._encode(some)
-
-    def _encode(self, split: list[list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
-        get = self.learn(set().union(*split)).__getitem__
-        for chunks in split:
-            both = list(map(get, chunks))
-            yield b"".join([x for x, _ in both]), b"".join([x for _, x in both])[1:]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string())], names=["text"])
+        for b in common.blocks(iter([batch]), size=BLOCK_BYTES):
+            got = self.encode_block(b)
+            for i in range(len(b)):
+                yield got.ids_of(i).tobytes(), got.text_of(i).tobytes()
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids: the tokens' strings with blanks between, as the file asks."""
@@ -249,14 +292,10 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for b in batches:
-            for part in _slices(b):
-                both = list(bpe.encode_batch(common.texts(part, text)))
-                flat = pa.array(np.frombuffer(b"".join([i for i, _ in both]), "<u4").astype(np.int32))
-                n = np.array([len(i) // 4 for i, _ in both], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), flat)
-                marks = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in both], pa.string()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n), ids, *marks], names=[key, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        for b in common.steady(common.blocks(batches, text, BLOCK_BYTES)):
+            got = bpe.encode_block(b)
+            ids = pa.ListArray.from_arrays(pa.array(got.id_edges.astype(np.int32)), pa.array(got.ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array(np.diff(got.id_edges)), ids, *got.marks()], names=[key, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
@@ -267,19 +306,9 @@ def digests(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for b in batches:
-            n, a, d = [], [], []
-            for part in _slices(b):
-                for ids, text_ in bpe.encode_batch(common.texts(part, text)):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    d.append(hashlib.sha256(text_).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in common.steady(common.blocks(batches, text, BLOCK_BYTES)):
+            got = bpe.encode_block(b)
+            yield pa.RecordBatch.from_arrays([b.batch.column(key), pa.array(np.diff(got.id_edges)), *got.marks()], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _slices(b: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
