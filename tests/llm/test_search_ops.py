@@ -191,6 +191,18 @@ def test_tree_search_is_exact(kind):
     assert all([(i, s) for s, i in t.search(v[q], 20, int(ids[q]))] == want[int(ids[q])] for q in asks)
 
 
+def test_scores_beyond_doubles_are_exact():
+    rng = np.random.default_rng(3)
+    ids, v = np.arange(600), rng.integers(-(1 << 28), 1 << 28, (600, 6))
+    v[:5] = 1 << 28
+    tree = mtree.MTree(ids, v)
+    for q in (0, 17, 300):
+        want = sorted(((-sum(int(a) * int(b) for a, b in zip(v[q], v[i], strict=True)), i) for i in range(600) if i != q))[:9]
+        assert tree.search(v[q], 9, q) == [(-s, i) for s, i in want]
+    with pytest.raises(ValueError, match="64 bits"):
+        mtree.MTree(ids, v << 4).search(v[0] << 4, 3)
+
+
 def test_bounds_save_work():
     rng = np.random.default_rng(1)
     centres = rng.integers(-300, 300, (30, 8)) * 10

@@ -1,6 +1,7 @@
 """Quality, personal data, pages, archives, decontamination."""
 
 import base64
+import collections
 import hashlib
 import html
 import random
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, html_text, pii, quality, registry, warc
+from tidewell.llm import common, decontaminate, html_text, pii, quality, registry, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +41,55 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
 
 
+def plain_features(text):
+    """The features of a text, one at a time."""
+    raw = (text or "").encode()
+    n = len(raw)
+    kinds = dict.fromkeys(quality._CLASSES, 0)
+    for c in raw:
+        kinds[quality._CLASSES[quality._CLASS[c]]] += 1
+    upper = kinds["upper"] + len(re.findall(rb"\xc3[\x80-\x9e]", raw))
+    out = {f"share_{k}": v / max(n, 1) for k, v in kinds.items()}
+    out["share_upper"] = upper / max(upper + kinds["lower"] + kinds["lead"], 1)
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    low = [w.lower() for w in words]
+    some = max(len(words), 1)
+    size = [len(w) for w in words]
+    mean = sum(size) / some
+    out |= {"log_bytes": np.log1p(n), "log_words": np.log1p(len(words)), "mean_word": mean, "std_word": np.sqrt(max(sum(float(x) ** 2 for x in size) / some - mean**2, 0)), "longest_word": np.log1p(max(size, default=0))}
+    out["types"] = len(set(low)) / some
+    out["top_word"] = max((low.count(w) for w in set(low)), default=0) / some
+    out["same_next"] = sum(a == b for a, b in zip(low, low[1:], strict=False)) / some
+    out["same_after_next"] = sum(a == b for a, b in zip(low, low[2:], strict=False)) / some
+    out["distinct_pairs"] = len(set(zip(low, low[1:], strict=False))) / max(len(words) - 1, 1)
+    count = lambda w, kind: sum(quality._CLASSES[quality._CLASS[c]] == kind for c in w)
+    out["upper_words"] = sum(count(w, "upper") >= 2 and not count(w, "lower") for w in words) / some
+    out["noisy_words"] = sum(count(w, "symbol") >= 2 for w in words) / some
+    out["bar_words"] = sum(w == b"|" for w in words) / some
+    out["run_bytes"] = sum(a == b and a not in b" \t" for a, b in zip(raw, raw[1:], strict=False)) / max(n, 1)
+    lines = [x.lower() for x in re.split(rb"[\r\n]+", raw) if x]
+    out["mean_line"] = np.log1p(n / max(len(lines), 1))
+    out["repeated_lines"] = 1 - len(set(lines)) / len(lines) if lines else 0.0
+    return [out[f] for f in quality.FEATURES]
+
+
+def test_scores_of_the_query_follow_from_plain_features(spark, docs):
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    rows = [r for r in docs.collect() if len(r.text or "") < 20_000]
+    x = np.array([plain_features(r.text) for r in rows])
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([r.text for r in rows], pa.string())})
+    fast = np.concatenate([quality.features(b) for b in common.blocks(iter([batch]), size=5000)])
+    assert np.allclose(x, fast, rtol=1e-9, atol=1e-9)
+    got = {r.doc_id: r.score for r in registry.op1_quality(spark, SF).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], model.score(fast), rtol=1e-9)
+
+
+def test_held_out_is_never_null(spark):
+    df = spark.createDataFrame([(None, "no id"), (1, "text")], "doc_id long, text string")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    assert [r.h for r in df.select(held.alias("h")).collect()].count(None) == 0
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 4))
@@ -145,6 +195,53 @@ def test_disclosing_terms(spark):
     assert clean[1001, None] is None and clean[0, "z"] == "another text of id zero" and clean[None, "n"].startswith("[EMAIL]")
 
 
+def plain_terms(texts):
+    """Term spans of each text, from the definition."""
+    split = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", t or "")] for t in texts]
+    base = [brute_spans(t or "") for t in texts]
+    n_e, near, ways = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for t, words, spans in zip(texts, split, base, strict=True):
+        free = [w for w in words if not any(w[0] < z and w[1] > a for a, z, _ in spans)]
+        for a, z, k in spans:
+            e = pii.canonical(k, t[a:z])
+            around = [w[2] for w in free if w[1] <= a][-5:] + [w[2] for w in free if w[0] >= z][:5]
+            n_e[e] += 1
+            for w in set(around):
+                near[e, w] += 1
+                ways[e, w].add(tuple(around))
+    n_t = collections.Counter(w[2] for words in split for w in words)
+    total = sum(n_t.values())
+    found = {}
+    for (e, w), n in near.items():
+        info = np.log2(total / n_e[e])
+        if len(ways[e, w]) >= 3 and info > 0:
+            found[w] = max(found.get(w, -9), 1 + np.log2(min(n / max(n_t[w], n), 1)) / info)
+    out = []
+    for words, spans in zip(split, base, strict=True):
+        mine = [(a, z, 4) for a, z, w in words if found.get(w, 0) >= pii.GENERALISE and not any(a < y and z > x for x, y, _ in spans)]
+        out.append(pii.spans_text(sorted(spans + mine, key=lambda s: (s[0], s[2], s[1]))))
+    return out
+
+
+def test_term_spans_follow_the_definition(spark):
+    rnd = random.Random(12)
+    people = [(f"Name{i}", f"p{i}@x.example.com") for i in range(12)]
+    texts = [None, "", "é Name1 alone", "+49 170 1234567 hotline Kim"]
+    for _ in range(400):
+        w = [f"w{min(rnd.randrange(60), rnd.randrange(60))}" for _ in range(rnd.randint(3, 30))]
+        if rnd.random() < 0.4:
+            name, mail = rnd.choice(people)
+            w[rnd.randrange(len(w)) : 0] = [rnd.choice((name, name, "Öl")), rnd.choice(("", "chief")), mail]
+        if rnd.random() < 0.05:
+            w.append(rnd.choice(people)[0])
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in pii.spans(df).collect()}
+    want = plain_terms(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum("term" in s for s in want) > 20
+
+
 def test_short_names_are_disclosing_terms(spark):
     rnd = random.Random(3)
     rows = []

@@ -110,6 +110,17 @@ def test_one_digest_of_most_rows(spark, library, tmp_path):
     assert len(got) == 3000 and {r.n_tokens for r in got if r.doc_id % 3} == {len(library.encode("same old text", add_special_tokens=False).ids)}
 
 
+def test_the_query_counts_like_the_library(spark, library):
+    from tidewell.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        want[r.doc_id] = (len((r.text or "").encode()), n, n > 2048)
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in registry.op5_token_counts(spark, sf).collect()} == want
+
+
 def test_words_longer_than_a_slice(monkeypatch):
     import pyarrow as pa
 
