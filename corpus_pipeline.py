@@ -25,29 +25,47 @@ GOOD = 0.7
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null and empty texts are scored like any other; without labels of both kinds all
+    documents get one score, and stay or go together.
+    """
     model = quality.train(docs, common.read(spark, sf_dir, "labels"), common.fold("doc_id", 4) != 2)
     return quality.keep_good(docs, model, GOOD)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest id, under it the smallest set.
+
+    Null and blank texts stay, each row.  Rows without an id are compared too; of a
+    group without any id one row stays.
+    """
     return near.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; null and empty items are in no document; without
+    items all documents stay.
+    """
     return decontaminate.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without personal data; ``n_chars`` follows the text."""
+    """Documents without personal data; ``n_chars`` follows the text, if it is there.
+
+    All rows stay, null texts as they are; columns of any other name pass untouched.
+    """
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
+    """Token ids of each document, with digests of the ids and of what they decode to.
+
+    Null and empty texts have no tokens; repeated rows are encoded each.
+    """
     return trie_bpe.encode(docs, public_tokenizers.path(TOKENIZER))
 
 
