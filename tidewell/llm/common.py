@@ -21,7 +21,20 @@ BLOCK_BYTES = 1 << 20
 SLICE = 1 << 20
 
 
+#: bytes of an Arrow batch, at most, in either direction
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, where the session has Spark's default (64 MB): ten
+    thousand long texts would be held four times, on either side of the pipe."""
+    if spark.conf.get(_BATCH_CONF).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +56,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     not the stages before.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
