@@ -78,12 +78,14 @@ def with_key(df: DataFrame, tenant: str = "tenant_id", out: str = "key") -> Data
     The same value as :func:`key_column`, inside whole-stage code generation:
     use it for whole tables.
     """
-    t = F.col(tenant).cast("long")
-    cur = df.withColumns({"__hi": F.lit(FNV_OFFSET >> 32).cast("long"), "__lo": F.lit(FNV_OFFSET & _M32).cast("long")})
-    for s in range(56, -8, -8):
-        hi, lo = _step(F.col("__hi"), F.col("__lo"), F.shiftright(t, s).bitwiseAND(F.lit(0xFF).cast("long")))
-        cur = cur.withColumns({"__hi": hi, "__lo": lo})
-    return cur.withColumn(out, F.when(t.isNotNull(), F.shiftleft("__hi", 32).bitwiseOR(F.col("__lo")))).drop("__hi", "__lo")
+    text, cols = [f"CAST(`{tenant}` AS BIGINT) AS __t", f"{FNV_OFFSET >> 32}L AS __hi0", f"{FNV_OFFSET & _M32}L AS __lo0"], df.columns
+    for k in range(8):
+        # one byte: xor into the low half, times the prime modulo 2**64; each alias uses those before it
+        text.append(f"__lo{k} ^ (shiftright(__t, {56 - 8 * k}) & 255L) AS __x{k}")
+        text.append(f"(__hi{k} * {0x1B3}L + shiftright(__x{k} * {0x1B3}L, 32) + shiftleft(__x{k}, 8)) & {_M32}L AS __hi{k + 1}")
+        text.append(f"(__x{k} * {0x1B3}L) & {_M32}L AS __lo{k + 1}")
+    text.append(f"CASE WHEN __t IS NOT NULL THEN shiftleft(__hi8, 32) | __lo8 END AS `{out}`")
+    return df.selectExpr(*(f"`{c}`" for c in cols if c != out), *text).select(*(f"`{c}`" for c in cols if c != out), f"`{out}`")
 
 
 def fenced(df: DataFrame) -> DataFrame:

@@ -211,6 +211,11 @@ class Directory:
         """An array literal of the placement, indexed by logical shard: no join, no shuffle."""
         return self.with_logical(df, tenant, "__logical").withColumn(out, F.coalesce(self._pinned(F.col(tenant)), F.element_at(self._placed(), F.col("__logical") + 1))).drop("__logical")
 
+    def with_place(self, df: DataFrame, tenant: str = "tenant_id", logical: str = "logical_shard", out: str = "shard") -> DataFrame:
+        """Logical shard and shard from one key."""
+        placed = F.element_at(self._placed(), F.col(logical) + 1)
+        return self.with_logical(df, tenant, logical).withColumn(out, F.coalesce(self._pinned(F.col(tenant)), placed))
+
     def with_targets(self, df: DataFrame, tenant: str = "tenant_id", out: str = "targets") -> DataFrame:
         """Write targets as an array, source first."""
         second = F.lit(None).cast("int")

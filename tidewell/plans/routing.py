@@ -55,7 +55,7 @@ def route_modn(spark: SparkSession, d: str) -> DataFrame:
 )
 def route_directory(spark: SparkSession, d: str) -> DataFrame:
     directory = T.Directory.even(1024, 4).pin(42, 7).pin(77, 6)
-    return directory.with_shard(directory.with_logical(tenants(spark, d)))
+    return directory.with_place(tenants(spark, d))
 
 
 def ring_sql(shards: int, vnodes: int) -> str:

@@ -18,13 +18,13 @@ FOUR = T.Directory.even(1024, 4)
 
 
 def placed(spark: SparkSession, d: str, directory: T.Directory = FOUR) -> DataFrame:
-    return directory.with_shard(directory.with_logical(S.orders(spark, d)))
+    return directory.with_place(S.orders(spark, d))
 
 
 def by_tenant(spark: SparkSession, d: str, *keys: str, **aggs: F.Column) -> DataFrame:
     """Orders summed by tenant, and then placed: a key a tenant, not a row."""
     some = S.orders(spark, d).groupBy("tenant_id", *keys).agg(*(c.alias(n) for n, c in aggs.items()))
-    return fenced(FOUR.with_shard(FOUR.with_logical(some)))
+    return fenced(FOUR.with_place(some))
 
 
 @query("orders_state_recent", f"WITH {_O} SELECT state, count(*) AS orders FROM o WHERE placed_at >= TIMESTAMP '{S.ORDERS_AS_OF}' - INTERVAL 365 DAY GROUP BY 1")
