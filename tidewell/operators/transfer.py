@@ -169,8 +169,9 @@ class Outbox:
         found = c.read("outbox").where("delivered_at IS NULL").join(done, ["shard", "id"], "left_anti").groupBy("shard").agg(F.count("*").alias("n"))
         return known.join(found, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("pending"))
 
-    def relay_once(self, source_shard: int, batch: int = 100, crash_before_mark: bool = False) -> int:
-        """Deliver the next messages of a shard in order of their ids; how many.
+    def relay_once(self, source_shard: int, batch: int | None = 100, crash_before_mark: bool = False) -> int:
+        """Deliver the next messages of a shard in order of their ids, or with ``None``
+        all that are due, whose order is of no account; how many.
 
         Messages go to the tenant's shard of now, not to the one of when they were
         written.  A message that was applied before counts as delivered.
@@ -178,7 +179,8 @@ class Outbox:
         c = self.cluster
         store = c.stores[source_shard]
         done = store.scan("delivered").select(F.col("event_id").alias("id"))
-        due = store.scan("outbox").where("delivered_at IS NULL").join(done, "id", "left_anti").orderBy("id").limit(batch)
+        due = store.scan("outbox").where("delivered_at IS NULL").join(done, "id", "left_anti")
+        due = due if batch is None else due.orderBy("id").limit(batch)
         due = due.select("id", F.get_json_object("payload", "$.tenant_id").cast("long").alias("tenant_id"), F.get_json_object("payload", "$.cents").cast("long").alias("cents"))
         routed = c.topology.with_shard(due).cache()
         try:

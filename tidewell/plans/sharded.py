@@ -194,7 +194,7 @@ def pending_outbox(spark: SparkSession, d: str) -> DataFrame:
     c = bank(spark, d)
     box = Outbox(c)
     box.transfer_all(moves(spark, d))
-    box.relay_once(1, batch=1 << 30)
+    box.relay_once(1, batch=None)
     return box.pending()
 
 
@@ -206,8 +206,8 @@ def relay_idempotent_balances(spark: SparkSession, d: str) -> DataFrame:
     box.transfer_all(moves(spark, d))
     for shard in c.shards:
         if shard % 2:
-            box.relay_once(shard, batch=1 << 30, crash_before_mark=True)
-        box.relay_once(shard, batch=1 << 30)
+            box.relay_once(shard, batch=None, crash_before_mark=True)
+        box.relay_once(shard, batch=None)
     return c.balances().groupBy("tenant_id").agg(F.sum("balance_cents").alias("balance_cents"))
 
 
@@ -218,7 +218,7 @@ def replayed_message(spark: SparkSession, d: str) -> DataFrame:
     box = Outbox(c)
     box.transfer_all(moves(spark, d))
     for shard in c.shards:
-        box.relay_once(shard, batch=1 << 30)
+        box.relay_once(shard, batch=None)
     first = moves(spark, d).agg(F.min("id")).first()[0]
     box.replay(first)
     for shard in c.shards:
