@@ -250,6 +250,9 @@ class Tx:
         routed = self.spec(name).route(conform(df, self.schema(name)), t["parts"], PART)
         known = F.col(PART).isNotNull() & F.col(PART).isin(list(t["parts"]))
         routed = routed.withColumn(PART, F.when(known, F.col(PART)).otherwise(F.raise_error(F.lit(f"no partition of {name} for a row"))))
+        if len(t["parts"]) > 1:
+            # a partition's rows meet in few tasks, a large one's in several: few files, none huge
+            routed = routed.hint("rebalance", F.col(PART))
         if sort:
             routed = routed.sortWithinPartitions(PART, *sort)
         rel = f"data/{name}-{uuid.uuid4().hex}"
