@@ -91,3 +91,13 @@ def test_human_bytes(spark):
     assert {n: human_bytes(n) for n in want} == want
     got = spark.createDataFrame([(n,) for n in want], "n long").select("n", human_bytes_column(F.col("n")).alias("t")).collect()
     assert {r.n: r.t for r in got} == want
+
+
+def test_sizes_round_halves_to_the_even_tenth(spark):
+    rng = random.Random(7)
+    halves = [s * rng.randrange(1024) * 1024**k + s * q * 1024**k // 4 for k in range(1, 6) for q in (5, 7) for s in (1, -1) for _ in range(20)]
+    near = [round(x * 2**50) for x in (1.15, 2.35, 4.05, 4.15, 5.15, 7.95)]
+    ns = [1280, 1792, -1280, *halves, *near, *(rng.randrange(1 << rng.randrange(1, 60)) for _ in range(500))]
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", human_bytes_column(F.col("n")).alias("t")).collect()
+    assert [r.t for r in got] == [human_bytes(n) for n in ns]
+    assert got[0].t == "1.2 KiB" and got[1].t == "1.8 KiB" and got[2].t == "-1.2 KiB"

@@ -19,9 +19,16 @@ def human_bytes(n: int) -> str:
 
 
 def human_bytes_column(n: Column) -> Column:
+    """As :func:`human_bytes`, up to PiB.  Halves of a tenth go to the even tenth, as C's
+    printf and Python round them; Java's formatter alone takes them, and decimals
+    that only look like halves, up."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(F.abs(n) >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        x = n / float(1024**k)
+        whole = F.floor(x)
+        # what is left has at most 10 k binary places, so ten times of it is exact
+        tenths = whole + F.rint((x - whole) * 10) / 10
+        out = F.when(F.abs(n) >= 1024**k, F.concat(F.format_string("%.1f", tenths), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
