@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import feed
-from tidewell.operators.cluster import OUTBOX, Cluster, PartialResultError
+from tidewell.operators.cluster import OUTBOX, Cluster, PartialResultError, Together
 from tidewell.operators.reshard import Reshard, StoppedError, VerificationError
 from tidewell.operators.topology import Directory, IncompleteClusterError, split
 from tidewell.operators.transfer import InsufficientFundsError, Outbox, TwoPhase
@@ -192,3 +192,45 @@ def test_page_plan_pushes_the_bound(spark, tmp_path):
     spark.createDataFrame([(1, datetime(2024, 1, 1))], "id long, created_at timestamp_ntz").write.parquet(f"{tmp_path}/f")
     plan = feed.page(spark.read.parquet(f"{tmp_path}/f"), feed.Cursor(datetime(2024, 1, 2), 5), 5)._jdf.queryExecution().toString()
     assert "LessThanOrEqual(created_at" in plan and "TakeOrderedAndProject" in plan
+
+
+def bulk(spark, root, shards):
+    """Balances of 40 tenants, a transfer of each in the outbox."""
+    c = Cluster(spark, root, Directory.even(64, shards)).create()
+    t = spark.range(40).select(F.col("id").alias("tenant_id"))
+    Together(c).insert("ledger", c.topology.with_shard(t.withColumn("balance_cents", F.lit(100).cast("long")))).commit()
+    box = Outbox(c)
+    box.transfer_all(t.select((F.col("tenant_id") + 1000).alias("id"), F.col("tenant_id").alias("source"), ((F.col("tenant_id") * 7 + 3) % 40).alias("target"), F.lit(5).cast("long").alias("cents")))
+    return c, box
+
+
+def test_relay_takes_as_many_jobs_whatever_the_shards(spark, tmp_path):
+    sc, jobs = spark.sparkContext, {}
+    for n in (2, 8):
+        c, box = bulk(spark, f"{tmp_path}/c{n}", n)
+        sc.setJobGroup(f"relay-{n}", "")
+        assert box.relay_once(0, batch=None, crash_before_mark=True)
+        jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"relay-{n}"))
+        sc._jsc.clearJobGroup()
+        versions = {s: store.version() for s, store in c.stores.items()}
+        assert box.relay_once(0, batch=None)
+        now = {s: store.version() for s, store in c.stores.items()}
+        assert now == versions | {0: versions[0] + 1}  # marked, and nothing else is written
+        if n == 2:
+            box.relay_once(1, batch=None)
+            want = {k: 95 for k in range(40)}
+            for k in range(40):
+                want[(k * 7 + 3) % 40] += 5
+            assert money(c) == want and c.read("applied").count() == c.read("applied").select("event_id").distinct().count() == 40
+    assert jobs[8] <= 1.5 * jobs[2]
+
+
+def test_shards_that_cant_pay_change_nothing_beside_others(spark, tmp_path):
+    c, box = bulk(spark, f"{tmp_path}/c", 4)
+    before, poor = money(c), c.topology.read(7)
+    moves = spark.createDataFrame([(1, 7, 8, 1000), *((k + 2, k, 7, 1) for k in range(40) if k != 7)], "id long, source long, target long, cents long")
+    with pytest.raises(InsufficientFundsError):
+        box.transfer_all(moves)
+    after = money(c)
+    for k in range(40):
+        assert after[k] == before[k] - (c.topology.read(k) != poor)

@@ -7,6 +7,7 @@ by shard are wanted; its results always say how many shards they cover.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.operators import partitions as P
-from tidewell.operators.store import Store
+from tidewell.operators.store import PART, Store, Tx, merged, write_parts
 from tidewell.operators.topology import LOGICAL, Directory, IncompleteClusterError, Topology, check_fits
 
 ORDERS = T.StructType(
@@ -227,3 +228,78 @@ class Cluster:
 
     def balances(self) -> DataFrame:
         return self.read("ledger")
+
+
+class Together:
+    """A transaction on each of some shards, whose reads and writes are one job for all
+    of them, not one a shard.  Rows have a ``shard`` column; those of other shards are
+    left out.  Each shard commits by itself."""
+
+    def __init__(self, cluster: Cluster, shards: list[int] | None = None):
+        self.cluster = cluster
+        self.txs: dict[int, Tx] = {s: cluster.stores[s].begin() for s in (cluster.shards if shards is None else shards)}
+
+    def _union(self, parts: dict[int, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.withColumn("shard", F.lit(s)) for s, df in parts.items()])
+
+    def scan(self, table: str) -> DataFrame:
+        return self._union({s: tx.scan(table) for s, tx in self.txs.items()})
+
+    def _alike(self, table: str) -> list[list[int]]:
+        """Shards whose tables have one schema and the same partitions."""
+        groups: dict[str, list[int]] = {}
+        for s, tx in self.txs.items():
+            t = tx._t(table)
+            bounds = {n: {k: v for k, v in p.items() if k != "dirs"} for n, p in t["parts"].items()}
+            groups.setdefault(json.dumps([t["schema"], t["spec"], bounds], sort_keys=True), []).append(s)
+        return list(groups.values())
+
+    def _write(self, table: str, df: DataFrame) -> dict[int, dict[str, str]]:
+        """Rows are written beside the stores and their folders moved into them."""
+        made: dict[int, dict[str, str]] = {s: {} for s in self.txs}
+        for shards in self._alike(table):
+            name, files = f"{table}-{uuid.uuid4().hex}", self.txs[shards[0]].store.files
+            stage = f"{self.cluster.root}/staged/{name}"
+            own = df.where(F.col("shard").isin(shards))
+            write_parts(self.txs[shards[0]]._routed(table, own, ("shard",)), stage, table, ("shard",))
+            there = set(files.list(stage))
+            for s in shards:
+                if f"shard={s}" in there:
+                    to = f"{self.txs[s].store.root}/data/{name}"
+                    if not files.rename(f"{stage}/shard={s}", to):
+                        raise OSError(f"can't move {stage}/shard={s} to {to}")
+                    made[s] = self.txs[s]._parts_in(f"data/{name}")
+            files.delete(stage)
+        return made
+
+    def insert(self, table: str, df: DataFrame) -> Together:
+        for s, made in self._write(table, df).items():
+            self.txs[s]._put(table, [], made)
+        return self
+
+    def homes(self, table: str, df: DataFrame) -> dict[int, list[str | None]]:
+        """Partitions that the rows of each shard belong to, None if there is none for
+        a row; shards without rows are not in it."""
+        out: dict[int, list[str | None]] = {}
+        for shards in self._alike(table):
+            tx = self.txs[shards[0]]
+            spec = tx.spec(table)
+            need = [c for c in (spec.range_column(), spec.tenant_column()) if c]
+            own = df.where(F.col("shard").isin(shards)).select("shard", *need).distinct()
+            for r in spec.route(own, tx._t(table)["parts"], PART).select("shard", PART).distinct().collect():  # a row a partition
+                out.setdefault(r["shard"], []).append(r[PART])
+        return out
+
+    def upsert(self, table: str, df: DataFrame, key: list[str], add: list[str], homes: dict[int, list[str | None]] | None = None) -> Together:
+        """As :meth:`Tx.upsert`, for a key that holds the partition column; ``homes`` if known."""
+        homes = self.homes(table, df) if homes is None else homes
+        hit = {s: [n for n in homes.get(s, []) if n in tx._t(table)["parts"]] for s, tx in self.txs.items()}
+        old = self._union({s: tx._read(table, [d for n in hit[s] for d in tx._t(table)["parts"][n]["dirs"]]) for s, tx in self.txs.items()})
+        for s, made in self._write(table, merged(old, df, ["shard", *key], add)).items():
+            self.txs[s]._put(table, hit[s], made)
+        return self
+
+    def commit(self, but: set[int] | frozenset[int] = frozenset()) -> None:
+        for s, tx in self.txs.items():
+            if s not in but:
+                tx.commit()

@@ -244,24 +244,28 @@ class Tx:
 
     # ---- writing
 
-    def _write(self, name: str, df: DataFrame, sort: list[str] | None = None) -> dict[str, str]:
-        """Route and write rows; folder by partition.  Nothing is referred to yet."""
+    def _routed(self, name: str, df: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+        """Rows in the table's schema with the partition of each; columns ``beside`` stay."""
         t = self._t(name)
-        routed = self.spec(name).route(conform(df, self.schema(name)), t["parts"], PART)
+        schema = T.StructType([*(df.schema[c] for c in beside), *self.schema(name).fields])
+        routed = self.spec(name).route(conform(df, schema), t["parts"], PART)
         known = F.col(PART).isNotNull() & F.col(PART).isin(list(t["parts"]))
         routed = routed.withColumn(PART, F.when(known, F.col(PART)).otherwise(F.raise_error(F.lit(f"no partition of {name} for a row"))))
-        if len(t["parts"]) > 1:
+        if beside or len(t["parts"]) > 1:
             # a partition's rows meet in few tasks, a large one's in several: few files, none huge
-            routed = routed.hint("rebalance", F.col(PART))
+            routed = routed.hint("rebalance", *(F.col(c) for c in (*beside, PART)))
+        return routed
+
+    def _write(self, name: str, df: DataFrame, sort: list[str] | None = None) -> dict[str, str]:
+        """Route and write rows; folder by partition.  Nothing is referred to yet."""
+        routed = self._routed(name, df)
         if sort:
             routed = routed.sortWithinPartitions(PART, *sort)
         rel = f"data/{name}-{uuid.uuid4().hex}"
-        try:
-            routed.write.partitionBy(PART).parquet(f"{self.store.root}/{rel}")
-        except Exception as e:
-            if "no partition of" in str(e):
-                raise P.NoPartitionError(f"no partition of {name} for a row") from None
-            raise
+        write_parts(routed, f"{self.store.root}/{rel}", name)
+        return self._parts_in(rel)
+
+    def _parts_in(self, rel: str) -> dict[str, str]:
         return {n.removeprefix(f"{PART}="): f"{rel}/{n}" for n in self.store.files.list(f"{self.store.root}/{rel}") if n.startswith(f"{PART}=")}
 
     def insert(self, name: str, df: DataFrame, sort: list[str] | None = None) -> Tx:
@@ -290,7 +294,9 @@ class Tx:
 
     def replace(self, name: str, partitions: Iterable[str], df: DataFrame) -> Tx:
         """The given partitions' rows become ``df``, which may also add to others."""
-        made = self._write(name, df)
+        return self._put(name, partitions, self._write(name, df))
+
+    def _put(self, name: str, partitions: Iterable[str], made: dict[str, str]) -> Tx:
         for n in partitions:
             self._t(name)["parts"][n]["dirs"] = []
         for n, d in made.items():
@@ -332,20 +338,7 @@ class Tx:
         if not homes:
             return self.insert(name, df)
         old = self._read(name, [d for n in homes for d in self._t(name)["parts"][n]["dirs"]])
-        aggs = [F.sum(c).cast(old.schema[c].dataType).alias(c) for c in add] + [F.max(c).alias(c) for c in put]
-        new = df.groupBy(*key).agg(*aggs).withColumn("__new", F.lit(True))
-        both = old.alias("o").join(new.alias("n"), key, "full_outer")
-        value = {}
-        for c in old.columns:
-            if c in key:
-                value[c] = F.col(c)
-            elif c in add:
-                value[c] = F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"n.{c}"), F.lit(0))
-            elif c in put:
-                value[c] = F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-            else:
-                value[c] = F.col(f"o.{c}")
-        return self.replace(name, homes, both.select(*(v.alias(c) for c, v in value.items())))
+        return self.replace(name, homes, merged(old, df, key, add, put))
 
     def truncate(self, name: str) -> Tx:
         for p in self._t(name)["parts"].values():
@@ -482,6 +475,34 @@ class Tx:
         return self
 
 
+def write_parts(routed: DataFrame, path: str, name: str, beside: tuple[str, ...] = ()) -> None:
+    """A folder a partition, below one for each value of ``beside``."""
+    try:
+        routed.write.partitionBy(*beside, PART).parquet(path)
+    except Exception as e:
+        if "no partition of" in str(e):
+            raise P.NoPartitionError(f"no partition of {name} for a row") from None
+        raise
+
+
+def merged(old: DataFrame, df: DataFrame, key: list[str], add: list[str] = (), put: list[str] = ()) -> DataFrame:
+    """Rows of ``old`` with those of ``df`` added to or put over them by key; see :meth:`Tx.upsert`."""
+    aggs = [F.sum(c).cast(old.schema[c].dataType).alias(c) for c in add] + [F.max(c).alias(c) for c in put]
+    new = df.groupBy(*key).agg(*aggs).withColumn("__new", F.lit(True))
+    both = old.alias("o").join(new.alias("n"), key, "full_outer")
+    value = {}
+    for c in old.columns:
+        if c in key:
+            value[c] = F.col(c)
+        elif c in add:
+            value[c] = F.coalesce(F.col(f"o.{c}"), F.lit(0)) + F.coalesce(F.col(f"n.{c}"), F.lit(0))
+        elif c in put:
+            value[c] = F.when(F.col("__new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+        else:
+            value[c] = F.col(f"o.{c}")
+    return both.select(*(v.alias(c) for c, v in value.items()))
+
+
 def _tail(path: str) -> str:
     return "/".join(path.rstrip("/").rsplit("/", 2)[-2:])
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.cluster import APPLIED, OUTBOX, Cluster
+from tidewell.operators.cluster import APPLIED, OUTBOX, Cluster, Together
 from tidewell.operators.store import NotAffectedError, Tx
 
 
@@ -150,14 +150,13 @@ class Outbox:
         payload = F.to_json(F.struct(F.col("target").alias("tenant_id"), "cents", F.col("source").alias("from")))
         rows = routed.select("shard", "source", "cents", "id", "target_shard", F.lit("credit").alias("kind"), payload.alias("payload"), F.current_timestamp().alias("created_at"), F.lit(None).cast("timestamp").alias("delivered_at")).cache()
         try:
-            for shard, store in c.stores.items():
-                own = rows.where(F.col("shard") == shard)
-                debits = own.groupBy(F.col("source").alias("tenant_id")).agg(F.sum(-F.col("cents")).alias("balance_cents"))
-                tx = store.begin()
-                tx.upsert("ledger", debits, ["tenant_id"], add=["balance_cents"])
-                if tx.scan("ledger").where("balance_cents < 0").limit(1).count():
-                    raise InsufficientFundsError(f"tenants of shard {shard} can't pay what they owe")
-                tx.insert("outbox", own.select("id", "target_shard", "kind", "payload", "created_at", "delivered_at")).commit()
+            t = Together(c)
+            debits = rows.groupBy("shard", F.col("source").alias("tenant_id")).agg(F.sum(-F.col("cents")).alias("balance_cents"))
+            t.upsert("ledger", debits, ["tenant_id"], add=["balance_cents"])
+            poor = {r["shard"] for r in t.scan("ledger").where("balance_cents < 0").select("shard").distinct().collect()}  # a row a shard
+            t.insert("outbox", rows.where(~F.col("shard").isin(poor)) if poor else rows).commit(poor)
+            if poor:
+                raise InsufficientFundsError(f"tenants of shards {sorted(poor)} can't pay what they owe")
         finally:
             rows.unpersist()
 
@@ -185,8 +184,8 @@ class Outbox:
         routed = c.topology.with_shard(due).cache()
         try:
             rows = routed.groupBy("shard").agg(F.count("*").alias("n")).collect()  # a row a shard
-            for r in rows:
-                apply_credits(c, r["shard"], routed.where(F.col("shard") == r["shard"]).select("id", "tenant_id", "cents"))
+            if rows:
+                apply_routed(c, routed, [r["shard"] for r in rows])
             if rows and not crash_before_mark:
                 store.begin().insert("delivered", routed.select(F.col("id").alias("event_id"), F.current_timestamp().alias("delivered_at"))).commit()
             return sum(r["n"] for r in rows)
@@ -202,11 +201,24 @@ class Outbox:
 def apply_credits(cluster: Cluster, shard: int, events: DataFrame) -> None:
     """Credit events (id, tenant_id, cents) that the shard hasn't applied; the record
     that they are applied is committed with the credits."""
-    tx = cluster.stores[shard].begin()
-    fresh = events.dropDuplicates(["id"]).join(tx.scan("applied").select(F.col("event_id").alias("id")), "id", "left_anti")
-    tx.upsert("ledger", fresh.select("tenant_id", F.col("cents").alias("balance_cents")), ["tenant_id"], add=["balance_cents"])
-    tx.insert("applied", fresh.select(F.col("id").alias("event_id"), F.current_timestamp().alias("applied_at")))
-    tx.commit()
+    apply_routed(cluster, events.withColumn("shard", F.lit(shard)), [shard])
+
+
+def apply_routed(cluster: Cluster, events: DataFrame, shards: list[int]) -> None:
+    """:func:`apply_credits` for events with a ``shard``, all shards in the same jobs.
+    A shard for which none is new is left as it is."""
+    t = Together(cluster, shards)
+    # by merging: what is applied grows with the messages, too much to send to each executor
+    done = t.scan("applied").select("shard", F.col("event_id").alias("id")).hint("merge")
+    fresh = events.select("shard", "id", "tenant_id", "cents").dropDuplicates(["shard", "id"]).join(done, ["shard", "id"], "left_anti").cache()
+    try:
+        homes = t.homes("ledger", fresh)
+        if homes:
+            t.upsert("ledger", fresh.select("shard", "tenant_id", F.col("cents").alias("balance_cents")), ["tenant_id"], ["balance_cents"], homes)
+            t.insert("applied", fresh.select("shard", F.col("id").alias("event_id"), F.current_timestamp().alias("applied_at")))
+            t.commit(set(shards) - set(homes))
+    finally:
+        fresh.unpersist()
 
 
 def apply_events(ledger: DataFrame, applied: DataFrame, events: DataFrame) -> DataFrame:

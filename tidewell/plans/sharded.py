@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.catalog import query
 from tidewell.functions.ids import EPOCH_MS, decode_id_columns, with_ids
 from tidewell.operators import topology as T
-from tidewell.operators.cluster import Cluster
+from tidewell.operators.cluster import Cluster, Together
 from tidewell.operators.feed import Cursor, decode_cursor, merge_desc, page
 from tidewell.operators.reshard import CHECKED, Reshard
 from tidewell.operators.transfer import InsufficientFundsError, Outbox, TwoPhase
@@ -37,12 +37,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def bank(spark: SparkSession, d: str) -> Cluster:
     """Every tenant with an order has the opening balance on its shard."""
     c = cluster(spark, d, rows=False)
-    accounts = c.topology.with_shard(S.ledger(S.orders(spark, d), OPENING)).cache()
-    try:
-        for shard, store in c.stores.items():
-            store.begin().insert("ledger", accounts.where(F.col("shard") == shard).drop("shard")).commit()
-    finally:
-        accounts.unpersist()
+    Together(c).insert("ledger", c.topology.with_shard(S.ledger(S.orders(spark, d), OPENING))).commit()
     return c
 
 

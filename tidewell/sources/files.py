@@ -84,6 +84,7 @@ class Files:
 
     def rename(self, old: str, new: str) -> bool:
         fs, p = self._at(old)
+        fs.mkdirs(self._at(new)[1].getParent())
         return fs.rename(p, self._at(new)[1])
 
     def delete(self, path: str) -> bool:
