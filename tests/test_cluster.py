@@ -234,3 +234,16 @@ def test_shards_that_cant_pay_change_nothing_beside_others(spark, tmp_path):
     after = money(c)
     for k in range(40):
         assert after[k] == before[k] - (c.topology.read(k) != poor)
+
+
+def test_messages_are_never_broadcast(spark, cluster, monkeypatch):
+    a, b = pair(cluster, False)
+    box, plans = Outbox(cluster), []
+    box.transfer(1, a, b, 5)
+    seen = Directory.with_shard
+    monkeypatch.setattr(Directory, "with_shard", lambda self, df, *x, **k: plans.append(df) or seen(self, df, *x, **k))
+    assert box.relay_once(cluster.topology.read(a)) == 1
+    box.replay(1)
+    assert box.relay_once(cluster.topology.read(a)) == 1 and box.relay_once(cluster.topology.read(a)) == 0
+    joins = [line for df in (*plans, box.pending()) for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftAnti" in line]
+    assert joins and not [x for x in joins if "Broadcast" in x]

@@ -123,7 +123,11 @@ class TwoPhase:
 
 class Outbox:
     """The debit and a message in one local transaction; a relay delivers messages
-    at least once, and the receiver applies each once."""
+    at least once, and the receiver applies each once.
+
+    What is delivered and applied is joined by merging: it grows with the messages,
+    and files that are small by their compressed size are large once collected to
+    the driver and broadcast."""
 
     def __init__(self, cluster: Cluster):
         self.cluster = cluster
@@ -165,7 +169,7 @@ class Outbox:
         c = self.cluster
         known = c.spark.createDataFrame([(s,) for s in c.shards], "shard int")
         done = c.read("delivered").select("shard", F.col("event_id").alias("id"))
-        found = c.read("outbox").where("delivered_at IS NULL").join(done, ["shard", "id"], "left_anti").groupBy("shard").agg(F.count("*").alias("n"))
+        found = c.read("outbox").where("delivered_at IS NULL").join(done.hint("merge"), ["shard", "id"], "left_anti").groupBy("shard").agg(F.count("*").alias("n"))
         return known.join(found, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("pending"))
 
     def relay_once(self, source_shard: int, batch: int | None = 100, crash_before_mark: bool = False) -> int:
@@ -177,7 +181,7 @@ class Outbox:
         """
         c = self.cluster
         store = c.stores[source_shard]
-        done = store.scan("delivered").select(F.col("event_id").alias("id"))
+        done = store.scan("delivered").select(F.col("event_id").alias("id")).hint("merge")
         due = store.scan("outbox").where("delivered_at IS NULL").join(done, "id", "left_anti")
         due = due if batch is None else due.orderBy("id").limit(batch)
         due = due.select("id", F.get_json_object("payload", "$.tenant_id").cast("long").alias("tenant_id"), F.get_json_object("payload", "$.cents").cast("long").alias("cents"))
@@ -208,7 +212,6 @@ def apply_routed(cluster: Cluster, events: DataFrame, shards: list[int]) -> None
     """:func:`apply_credits` for events with a ``shard``, all shards in the same jobs.
     A shard for which none is new is left as it is."""
     t = Together(cluster, shards)
-    # by merging: what is applied grows with the messages, too much to send to each executor
     done = t.scan("applied").select("shard", F.col("event_id").alias("id")).hint("merge")
     fresh = events.select("shard", "id", "tenant_id", "cents").dropDuplicates(["shard", "id"]).join(done, ["shard", "id"], "left_anti").cache()
     try:
