@@ -314,6 +314,31 @@ def test_rounds_go_over_all_training_text(spark):
     assert all(r.score / r.n_tokens > -0.5 for r in got)
 
 
+@pytest.mark.parametrize("part_tokens", [1 << 15, 1 << 21])
+def test_each_training_token_is_gone_over_once_however_full_its_part_is(spark, monkeypatch, part_tokens):
+    monkeypatch.setattr(lbl, "PART_TOKENS", part_tokens)
+    docs, learns = spark.read.parquet(f"{SF}/documents.parquet"), F.col("doc_id") % 7 != 2
+    lex = lbl.lexicon(lbl.word_counts(docs.where(learns), "text"))
+    rows = lbl.encoded(docs, lex, learns, "doc_id", "text").cache()
+    got = lbl.fit(rows, lex)
+    taught = rows.where("learns").orderBy("place").collect()
+    assert lex.total < lbl.ROUNDS * (1 << 15)  # a round is one part
+    m = lbl.Model(lbl.word_classes(lbl.neighbours(rows.where("learns"), lex)), lex.word_n, lex.rare_n, lex.ends)
+    tokens = 0
+    for k in range(lbl.ROUNDS):
+        unit, doc = lbl.streams([r.units for r in taught if r.place % lbl.ROUNDS == k], m.end)
+        m.train(unit, lbl.contexts(unit, doc, m.end), np.random.default_rng((k, 0)), lbl.RATE if k < lbl.ROUNDS - 1 else lbl.RATE / 2)
+        tokens += len(unit)
+    assert tokens == lex.total
+    for a, b in zip(got.tables, m.tables, strict=True):
+        assert np.allclose(a, b, atol=1e-3)
+
+
+def test_one_pass_learns_a_small_corpus(spark):
+    got = registry.op6_lm_scores(spark, SF).where("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
+    assert got.m / got.b < 0.96  # 0.982 after one pass in steps of 1,024 tokens
+
+
 def test_noise_contrastive_training_learns_a_rule():
     rng = np.random.default_rng(0)
     n = 12

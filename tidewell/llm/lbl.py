@@ -18,8 +18,9 @@ Training is noise contrastive estimation in numpy.  The training documents are
 dealt to ``ROUNDS`` rounds, and within a round to parts of about ``PART_TOKENS``
 tokens, by a hash of id and text, so the model does not depend on how tables
 are split.  Each part goes on from the parameters of the round before; rows of
-parameters are averaged by how often each was trained.  Small corpora, whose
-parts aren't full, are gone over up to ``PASSES`` times.
+parameters are averaged by how often each was trained.  Each training token is
+gone over once, whatever the size of the corpus; steps are of ``BATCH`` tokens,
+few enough for a small corpus to be learnt in that one pass.
 
 The base score is that of add-one unigrams with the same counts.
 
@@ -56,8 +57,8 @@ RARE = 64
 #: frequent words whose nearness tells classes of words apart
 SIGNS = 64
 CONTEXT, WIDTH = 4, 16
-NOISE, WORD_NOISE, RATE, BATCH = 64, 32, 0.15, 1024
-ROUNDS, PART_TOKENS, PASSES = 3, 1 << 21, 4
+NOISE, WORD_NOISE, RATE, BATCH = 64, 32, 0.15, 256
+ROUNDS, PART_TOKENS = 3, 1 << 21
 #: tokens that are trained, or scored, at once
 WINDOW = 1 << 17
 #: words whose counts are sent to executors, at most
@@ -312,7 +313,7 @@ class Model:
 
     def vectors(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of contexts, and the rows that they are made of."""
-        rows = self.context[ctx]
+        rows = self.context.take(ctx, 0)
         h = np.ones((ctx.shape[1], WIDTH + 1), np.float32)
         np.einsum("oni,oi->ni", rows, self.distance, out=h[:, :WIDTH])
         return h, rows
@@ -335,14 +336,26 @@ class Model:
 
     def _step(self, k: int, row: np.ndarray, g: np.ndarray, n: int, rate: float) -> None:
         """Adagrad on the rows of a table that have a gradient; rows may repeat."""
-        order = np.argsort(row.astype(np.uint16) if len(self.tables[k]) < 1 << 16 else row, kind="stable")
+        row = row.astype(np.uint16) if len(self.tables[k]) < 1 << 16 else row
+        order = row.argsort(kind="stable")
         row = row[order]
-        new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g = np.add.reduceat(g[order], new, axis=0) / np.float32(n)
+        new = np.ones(len(row), bool)
+        np.not_equal(row[1:], row[:-1], out=new[1:])
+        new = new.nonzero()[0]
         row = row[new]
-        s = self.squares[k][row] + g * g
+        g = np.add.reduceat(g.take(order, 0), new, axis=0)
+        self._adagrad(k, row, g, n, rate)
+
+    def _adagrad(self, k: int, row: np.ndarray, g: np.ndarray, n: int, rate: float) -> None:
+        """The step itself: rows of a table, each once, and their gradients over ``n`` tokens."""
+        g /= np.float32(n)
+        s = self.squares[k].take(row, 0)
+        s += g * g
         self.squares[k][row] = s
-        self.tables[k][row] += np.float32(rate) * g / np.sqrt(s)
+        g *= np.float32(rate)
+        g /= np.sqrt(s, out=s)
+        g += self.tables[k].take(row, 0)
+        self.tables[k][row] = g
 
     def train(self, unit: np.ndarray, ctx: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """A pass of noise contrastive estimation over tokens in random order: classes
@@ -358,9 +371,9 @@ class Model:
             up, down, of_w, of_x = _contrast(h, self.unit, log_noise, w, x)
             dh = (up * of_w + down @ of_x)[:, :WIDTH]
             near, far = (dh * self.distance[:, None]).reshape(-1, WIDTH), np.einsum("oni,ni->oi", rows, dh)
-            self._step(2, np.r_[w, x], np.concatenate([up * h, down.T @ h]), n, rate)
+            self._step(2, np.concatenate([w, x]), np.concatenate([up * h, down.T @ h]), n, rate)
             self._step(0, c.ravel(), near, n, rate)
-            self._step(1, np.arange(CONTEXT), far, n, rate)
+            self._adagrad(1, np.arange(CONTEXT), far, n, rate)
         known = np.flatnonzero(unit < len(self.slot))
         known = known[np.argsort(own[known], kind="stable")]
         edge = np.searchsorted(own[known], np.arange(self.classes + 1))
@@ -374,15 +387,18 @@ class Model:
                 w, x = self.slot[unit[at[a : a + BATCH]]], drawn[k]
                 h, _ = self.vectors(ctx[:, at[a : a + BATCH]])
                 up, down, _, _ = _contrast(h, self.word[m], log_noise, w, x)
-                self._step(3, m[np.r_[w, x]], np.concatenate([up * h, down.T @ h]), len(w), rate)
+                self._step(3, m[np.concatenate([w, x])], np.concatenate([up * h, down.T @ h]), len(w), rate)
 
 
 def _contrast(h: np.ndarray, vector: np.ndarray, log_noise: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
     """Gradients of the logits of data (towards it) and of noise (away from it), and
     the vectors of both."""
-    of_w, of_x = vector[w], vector[x]
+    of_w, of_x = vector.take(w, 0), vector.take(x, 0)
     up = 1 / (1 + np.exp(np.einsum("ni,ni->n", h, of_w) - log_noise[w]))
-    down = -1 / (1 + np.exp(log_noise[x] - h @ of_x.T))
+    down = log_noise[x] - h @ of_x.T
+    np.exp(down, out=down)
+    down += 1
+    np.divide(-1, down, out=down)
     return up[:, None], down, of_w, of_x
 
 
@@ -426,14 +442,13 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(rows: DataFrame, lex: Lexicon) -> Model:
-    """The model for the encoded rows that learn: rounds over all of them."""
+    """The model for the encoded rows that learn: rounds over all of them, each row in one."""
     spark = rows.sparkSession
     training = rows.where("learns").select("place", "units")
     of = word_classes(neighbours(training, lex)) if lex.words else np.zeros(0, np.int64)
     model = Model(of, lex.word_n, lex.rare_n, lex.ends)
     mine = -(-lex.total // ROUNDS)  # tokens of a round
     parts = max(1, -(-mine // PART_TOKENS))
-    passes = max(1, min(PASSES, PART_TOKENS * parts // max(1, mine)))
     dealt = training.withColumn("round", F.pmod("place", F.lit(ROUNDS))).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)))
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
@@ -446,8 +461,7 @@ def fit(rows: DataFrame, lex: Lexicon) -> Model:
                 for some in rows:
                     unit, doc = streams(some, own.end)
                     for at, ctx in windows(unit, doc, own.end):
-                        for _ in range(passes):
-                            own.train(unit[at], ctx, rng, rate)
+                        own.train(unit[at], ctx, rng, rate)
                         weights = [a + b for a, b in zip(weights, _weights(own, unit[at], ctx), strict=True)]
                 yield _packed(own, weights, part)
 
