@@ -150,3 +150,37 @@ def test_word_hashes_follow_the_words():
             got += [(k.batch.column("doc_id")[int(d)].as_py(), bytes(k.data[s:e]).lower(), int(h)) for d, s, e, h in zip(w.doc, w.start, w.end, w.hash, strict=True)]
         assert [(d, x) for d, x, _ in got] == [(i, x.lower()) for i, s in enumerate(t) for x in (s or "").encode().split()]
         assert all(common.hash_word(x) == h for _, x, h in got)
+
+
+def test_workers_let_the_encoder_go_when_another_stage_begins(spark):
+    import pyarrow as pa
+
+    def probe(batches):
+        import gc
+
+        def held():
+            return sum(isinstance(x, trie_bpe.TrieBpe) for x in gc.get_objects())
+
+        before = held()
+        rows = sum(len(b) for b in common.blocks(batches))
+        yield pa.RecordBatch.from_pydict({"before": [before], "after": [held()], "n": [rows]})
+
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(64)], "doc_id long, text string").repartition(32)
+    assert trie_bpe.digests(docs, PATH).count() == 64
+    got = docs.mapInArrow(probe, "before long, after long, n long").collect()
+    assert sum(r.n for r in got) == 64
+    assert any(r.before for r in got)  # workers are used again
+    assert not any(r.after for r in got)
+
+
+def test_what_a_stage_holds_is_made_once(monkeypatch):
+    monkeypatch.setattr(common, "_held", {})
+    made = []
+    for stage, want in ((7, 1), (7, 1), (8, 1)):
+        monkeypatch.setattr(common, "_stage", lambda s=stage: s)
+        common.hold("x", lambda: made.append(1) or made)
+        common.let_go()
+        assert len(made) == want and "x" in common._held
+    monkeypatch.setattr(common, "_stage", lambda: 9)
+    common.let_go()
+    assert not common._held

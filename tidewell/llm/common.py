@@ -6,13 +6,16 @@ Python string: they look at one ``uint8`` array per block of documents.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,38 @@ def fold(remainder_of: str, mod: int) -> F.Column:
     return F.crc32(F.col(remainder_of).cast("string")) % mod
 
 
+#: what this worker holds between tasks, by name: the stage that last used it, and the thing
+_held: dict[str, tuple[int, Any]] = {}
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def hold(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once for all tasks of a stage in this worker.
+
+    Workers outlive stages: the first block of another stage lets it go.
+    """
+    _held[name] = (_stage(), _held[name][1] if name in _held else make())
+    return _held[name][1]
+
+
+def let_go() -> None:
+    """Give the memory of what other stages held in this worker back to the system."""
+    stage = _stage()
+    others = [name for name, (of, _) in _held.items() if of != stage]
+    if others:
+        for name in others:
+            del _held[name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+
 @dataclass
 class Block:
     """Some documents of a batch: bytes of all texts end to end, offsets, all columns."""
@@ -110,6 +145,7 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Cut batches into blocks of about ``size`` bytes; one longer text is one block,
     and takes up to some 40 bytes of memory a byte where words are sorted."""
+    let_go()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -278,13 +278,9 @@ class TrieBpe:
         return " ".join([self.text_of[int(i)] for i in ids])
 
 
-_loaded: dict[str, TrieBpe] = {}
-
-
 def load(path: str) -> TrieBpe:
-    if path not in _loaded:
-        _loaded[path] = TrieBpe(path)
-    return _loaded[path]
+    """The file's encoder, with its memories, as long as this worker encodes."""
+    return common.hold(f"bpe {path}", lambda: TrieBpe(path))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

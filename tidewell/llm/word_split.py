@@ -13,6 +13,8 @@ import json
 import os
 import re
 
+from tidewell.llm import common
+
 #: fixed values: the split of the vocabulary file, and what it means for ASCII in lower case
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -30,26 +32,25 @@ def _byte_letters() -> dict[int, int]:
 
 _LETTERS = _byte_letters()
 
-_loaded: dict[str, object] = {}
+
+def _read(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def load(path: str):
-    """The library's tokenizer for a file, once a process, on one thread."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        if path.endswith(".model"):
-            import sentencepiece
-
-            _loaded[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-        else:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            _loaded[path] = t
-    return _loaded[path]
+    """The library's tokenizer for a file, once a stage and worker, on one thread."""
+    return common.hold(f"tokenizer {path}", lambda: _read(path))
 
 
 class WordSplit:
